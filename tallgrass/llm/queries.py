@@ -6,14 +6,26 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.llm.common import table
 from tallgrass.llm.minhash_dedup import near_duplicates
+from tallgrass.llm.secrets_scan import find_secrets
+from tallgrass.llm.suffix_dedup import remove_repeats
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spark, table(spark, sf_dir, "documents"))
 
 
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(spark, table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op2_secret_scan": op2_secret_scan,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
 }
 
 ORACLES: dict[str, str] = {}
