@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.llm.common import table
 from tallgrass.llm.minhash_dedup import near_duplicates
+from tallgrass.llm.pii import find_pii
+from tallgrass.llm.quality import judge
 from tallgrass.llm.secrets_scan import find_secrets
 from tallgrass.llm.suffix_dedup import remove_repeats
 
@@ -18,14 +20,24 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spark, table(spark, sf_dir, "documents"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(spark, table(spark, sf_dir, "documents"))
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op9_pii": op9_pii,
 }
 
 ORACLES: dict[str, str] = {}
