@@ -67,7 +67,7 @@ class Workspace:
 def saved_bytes(df: DataFrame) -> int:
     """Catalyst's size estimate of a saved (file-backed) table."""
     stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(stats.sizeInBytes().toString())
+    return int(str(stats.sizeInBytes()))
 
 
 def bounded_broadcast(df: DataFrame, limit: int) -> DataFrame:

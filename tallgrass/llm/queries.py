@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.llm.common import table
+from tallgrass.llm.decontam import contained_items
 from tallgrass.llm.minhash_dedup import near_duplicates
+from tallgrass.llm.mixing import mix
 from tallgrass.llm.pii import find_pii
 from tallgrass.llm.quality import judge
 from tallgrass.llm.secrets_scan import find_secrets
@@ -20,6 +22,10 @@ def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(spark, table(spark, sf_dir, "documents"))
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "documents"))
 
@@ -32,12 +38,19 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark, table(spark, sf_dir, "documents"))
 
 
+def op10_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contained_items(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.drop("key")
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
+    "op3_mixing": op3_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op9_pii": op9_pii,
+    "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
 ORACLES: dict[str, str] = {}
