@@ -6,12 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tallgrass.llm.common import table
 from tallgrass.llm.decontam import contained_items
+from tallgrass.llm.html_extract import extract_text
+from tallgrass.llm.langid import identify
 from tallgrass.llm.minhash_dedup import near_duplicates
 from tallgrass.llm.mixing import mix
 from tallgrass.llm.pii import find_pii
 from tallgrass.llm.quality import judge
 from tallgrass.llm.secrets_scan import find_secrets
 from tallgrass.llm.suffix_dedup import remove_repeats
+from tallgrass.llm.token_counts import count_tokens
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +29,14 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(spark, table(spark, sf_dir, "pages"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(spark, table(spark, sf_dir, "documents"))
 
@@ -34,6 +45,10 @@ def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(spark, table(spark, sf_dir, "documents"))
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(spark, table(spark, sf_dir, "documents"))
 
@@ -47,8 +62,11 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_secret_scan": op2_secret_scan,
     "op3_mixing": op3_mixing,
+    "op4_html_extraction": op4_html_extraction,
+    "op5_token_counts": op5_token_counts,
     "op6_quality_rules": op6_quality_rules,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
+    "op8_language_id": op8_language_id,
     "op9_pii": op9_pii,
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
