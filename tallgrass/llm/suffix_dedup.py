@@ -15,9 +15,10 @@ What is left are buckets of different contexts. They are refined as in
 bucket-pointer refinement: the positions of all contexts of a bucket are
 sorted by bucket identifiers, first of 8 bytes, then by the pair of the
 identifiers here and at a later offset, which doubles the depth of each
-bucket; positions alone in their bucket leave at once. Buckets too large for
-one task are refined by content name and partial counts instead, one row per
-window, which no key can make uneven.
+bucket; positions alone in their bucket leave at once. A bucket too large for
+one task is first cut: the windows of each context in two halves by their
+distance from the anchor, each half under the name of the bytes that all its
+windows share, and again until a part fits a task or is one whole window.
 
 Defined results. A null text is empty. Matches never cross documents; rows
 that repeat a doc_id are separate documents. Texts shorter than ``LENGTH``
@@ -40,8 +41,8 @@ from tallgrass.llm.common import Workspace
 
 LENGTH = 200
 GRAM = 32
-#: Contexts of one bucket that one task refines; larger buckets go by rows.
-IN_TASK = 2000
+#: Contexts of one bucket that one task refines, about 3 MB; larger ones are cut.
+IN_TASK = 8000
 
 
 def window_minima(grams: np.ndarray, width: int) -> np.ndarray:
@@ -238,34 +239,39 @@ def _refine_buckets(length: int, together: int = 1 << 20):
     return run
 
 
-def _windows(length: int):
-    """One row per window of a context, named by its content."""
+def _halves(length: int, gram: int):
+    """Cuts each context's windows in two and names both halves' common bytes.
+
+    A window lies at some distance o before the anchor. Windows of distances
+    lo..hi all hold the bytes from lo before the anchor to ``length - hi``
+    after it, so equal windows meet again under the name of those bytes. With
+    lo = hi that name is the whole window.
+    """
+    names = ["doc", "gram", "m", "first", "starts", "raw", "lo", "hi"]
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.int32())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            doc, m = batch.column(0), batch.column(2)
-            first, starts = batch.column(3).to_numpy(), batch.column(4).to_numpy()
-            offsets, data = bk.utf8(batch.column(5))
-            for lo, hi in bk.pieces(offsets, 1 << 20):
-                part = data[offsets[lo] : offsets[hi]]
-                prefix = bk.Prefix(part)
-                n = starts[lo:hi]
-                owner = np.repeat(np.arange(hi - lo), n)
-                within = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-                at = (offsets[lo:hi] - offsets[lo])[owner] + within
-                half = at + length // 2
-                one = bk.mix(prefix.ranges(at, half) + bk.mix(prefix.ranges(half, at + length)))
-                two = bk.mix(prefix.ranges(at, at + length))
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        doc.slice(lo, hi - lo).take(pa.array(owner)),
-                        pa.array((first[lo:hi][owner] + within).astype(np.int32)),
-                        m.slice(lo, hi - lo).take(pa.array(owner)),
-                        pa.array(one.view(np.int64)),
-                        pa.array(two.view(np.int64)),
-                    ],
-                    names=["doc", "at", "m", "w1", "w2"],
-                )
+            columns = batch.to_pydict()
+            out: list[list] = [[] for _ in names]
+            for doc, m, first, starts, raw, lo, hi in zip(*(columns[k] for k in names if k != "gram")):
+                data = np.frombuffer(raw, dtype=np.uint8)
+                prefix = bk.Prefix(data)
+                grams = bk.mix(prefix.grams(gram))
+                lead = int(window_minima(grams[: length - gram + 1], length - gram + 1)[0])
+                middle = (lo + hi + 1) // 2
+                for low, high in ((lo, middle - 1), (middle, hi)):
+                    # this context has the distances lead - starts + 1 .. lead
+                    x, y = max(low, lead - starts + 1), min(high, lead)
+                    if x > y:
+                        continue
+                    core = prefix.ranges(np.array([lead - low]), np.array([lead + length - high]))
+                    name = bk.mix(core + bk.U64(low * 65536 + high))
+                    part = (doc, int(name.view(np.int64)[0]), m, first + lead - y, y - x + 1)
+                    values = (*part, raw[lead - y : lead - x + length], low, high)
+                    for column, value in zip(out, values):
+                        column.append(value)
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds)], names=names)
 
     return run
 
@@ -347,9 +353,10 @@ def remove_repeats(
         rows.mapInArrow(_anchors(length, gram), "doc long, gram long, context long, first int, starts int")
     )
     # initial buckets; one row of a context stands for all its copies
-    counted = marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    # (saved, so that the join can split the rows of a frequent bucket)
+    counted = space.save(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
     shared = space.save(marked.join(counted, "gram"))
-    space.drop(marked)
+    space.drop(marked, counted)
     contexts = shared.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("m"), F.min(F.struct("doc", "first", "starts")).alias("s")
     )
@@ -362,19 +369,32 @@ def remove_repeats(
     asked = asked.groupBy("doc").agg(F.collect_list("s").alias("asked"))
     dealt = rows.repartition("doc")
     bytes_of = space.save(dealt.join(asked, "doc").select("doc", "text", "asked").mapInArrow(_contexts(length), CONTEXT))
-    hot = space.save(mixed.where(F.col("kinds") > in_task).select("gram"))
-    small = bytes_of.join(hot, "gram", "left_anti").repartition("gram").sortWithinPartitions("gram")
-    small = small.select("doc", "gram", "m", "first", "starts", "raw").mapInArrow(_refine_buckets(length), RUNS)
-    crowded = bytes_of.join(hot, "gram", "left_semi").select("doc", "gram", "m", "first", "starts", "raw")
-    windows = crowded.mapInArrow(
-        _windows(length), "doc long, at int, m long, w1 long, w2 long"
-    )
-    twice = windows.groupBy("w1", "w2").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("w1", "w2")
-    large = windows.where("m = 1").join(twice, ["w1", "w2"]).select(
-        "doc", F.col("at").alias("first"), F.lit(1).alias("starts")
+    found = whole
+    fields = ["doc", "gram", "m", "first", "starts", "raw"]
+    crowded = space.save(mixed.where(F.col("kinds") > in_task).select("gram"))
+    used = [shared, contexts, crowded, bytes_of]
+    ready = bytes_of.join(crowded, "gram", "left_anti").select(*fields)
+    open_rows = bytes_of.join(crowded, "gram", "left_semi").select(
+        *fields, F.lit(0).alias("lo"), F.lit(length - gram).alias("hi")
     )
-    runs = space.save(whole.unionByName(small).unionByName(large))
-    space.drop(shared, contexts, bytes_of, hot)
+    while not crowded.isEmpty():
+        # a crowded bucket is cut by deeper names until its parts fit a task
+        cut = space.save(
+            open_rows.mapInArrow(_halves(length, gram), CONTEXT + ", lo int, hi int")
+        )
+        named = space.save(cut.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min(F.col("hi") - F.col("lo")).alias("width")).where("n > 1"))
+        used += [cut, named]
+        equal = cut.join(named.where("width = 0").select("gram"), "gram", "left_semi").where("m = 1")
+        found = found.unionByName(equal.select("doc", "first", "starts"))
+        fits = named.where((F.col("width") > 0) & (F.col("n") <= in_task)).select("gram")
+        ready = ready.unionByName(cut.join(fits, "gram", "left_semi").select(*fields))
+        crowded = space.save(named.where((F.col("width") > 0) & (F.col("n") > in_task)).select("gram"))
+        used.append(crowded)
+        open_rows = cut.join(crowded, "gram", "left_semi")
+    ready = ready.repartition("gram").sortWithinPartitions("gram")
+    found = found.unionByName(ready.mapInArrow(_refine_buckets(length), RUNS))
+    runs = space.save(found)
+    space.drop(*used)
     per_doc = runs.groupBy("doc").agg(F.collect_list(F.struct("first", "starts")).alias("runs"))
     schema = "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
     if not with_text:
