@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as Y
 
 from tallgrass.functions.let import let
 
@@ -89,7 +90,7 @@ def blocked_ipv4(address: Column) -> Column:
     return let(ipv4_number(address), inside)
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(Y.BooleanType())
 def blocked_ipv6(addresses: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """True for a local, private, mapped or documentation IPv6 address."""
 
@@ -106,7 +107,7 @@ def blocked_ipv6(addresses: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(test).astype("boolean")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.StringType())
 def first_json_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """The first balanced {...} of a text, quotes and escapes respected."""
 
@@ -140,7 +141,7 @@ def first_json_object(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield series.map(find)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(Y.StringType())
 def canonical_json(payloads: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """JSON with sorted keys and no spaces; unreadable text becomes null."""
 
@@ -175,7 +176,7 @@ def deep_subset(expected, actual) -> bool:
     return type(expected) is type(actual) and expected == actual
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(Y.BooleanType())
 def json_subset(expected: pd.Series, actual: pd.Series) -> pd.Series:
     """``deep_subset`` over JSON texts; unreadable JSON matches nothing."""
 
