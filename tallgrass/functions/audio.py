@@ -36,24 +36,23 @@ def resampler(source: int, target: int):
 
 class StreamResampler:
     """Resampling of a stream in chunks; the phase carries over, so chunks
-    give what the whole would."""
+    give what the whole would. Places are kept as whole numbers: output k lies
+    at k * source / target of the input."""
 
     def __init__(self, source: int, target: int):
-        self.step = source / target
-        self.position = 0.0
+        self.source, self.target = source, target
+        self.made = self.dropped = 0
         self.tail = np.zeros(0)
 
     def push(self, chunk: np.ndarray) -> np.ndarray:
         data = np.concatenate([self.tail, np.asarray(chunk, dtype=float)])
-        if len(data) < 2:
-            self.tail = data
-            return np.zeros(0)
-        n = max(0, int(np.ceil((len(data) - 1 - self.position) / self.step)))
-        at = self.position + np.arange(n) * self.step
-        out = np.interp(at, np.arange(len(data)), data)
-        end = self.position + n * self.step
-        whole = min(int(np.floor(end)), len(data) - 1)
-        self.tail, self.position = data[whole:], end - whole
+        last = self.dropped + len(data) - 1  # the outputs before it can be made
+        stop = max(self.made, -(-last * self.target // self.source)) if len(data) else self.made
+        places = np.arange(self.made, stop) * self.source - self.dropped * self.target
+        out = np.interp(places / self.target, np.arange(len(data)), data) if len(places) else np.zeros(0)
+        self.made = stop
+        gone = min(max(0, self.made * self.source // self.target - self.dropped), max(0, len(data) - 1))
+        self.tail, self.dropped = data[gone:], self.dropped + gone
         return out
 
 

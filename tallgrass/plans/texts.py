@@ -223,7 +223,7 @@ def read_heads(spark, d):
  n0 as (select source as owner_id, doc_id as id, concat('p', doc_id - doc_id % 2) as path, sha1(text) as fingerprint, doc_id + 100000 as imported_at from documents where doc_id % 3 <> 0),
  n as (select * exclude rn from (select *, row_number() over (partition by owner_id, fingerprint order by imported_at desc, id) rn from n0) where rn = 1),
  k as (select * from b where not exists (select 1 from n where n.owner_id = b.owner_id and n.fingerprint = b.fingerprint)
- and not exists (select 1 from n where n.owner_id = b.owner_id and n.path = b.path)), u as (select * from k union all select * from n)
+ and not exists (select 1 from n0 where n0.owner_id = b.owner_id and n0.path = b.path)), u as (select * from k union all select * from n)
  select owner_id, id, imported_at from (select *, row_number() over (partition by owner_id order by imported_at desc, id) rn from u) where rn <= 40""")
 def document_import(spark, d):
     rows = table(spark, d, "documents")

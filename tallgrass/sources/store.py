@@ -66,10 +66,13 @@ def import_documents(library: DataFrame, incoming: DataFrame, cap: int = LIBRARY
     marked = incoming.where(
         (classify(F.col("extension")) != "unsupported") & (F.octet_length("content") <= MAX_IMPORT_BYTES)
     ).withColumn("fingerprint", F.sha1("content"))
-    last = Window.partitionBy("owner_id", "fingerprint").orderBy(F.desc("imported_at"), "id")
-    marked = marked.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
+    # every accepted file pushes out what it replaces, also one that is itself
+    # replaced by a later file
     by_mark = library.join(marked.select("owner_id", "fingerprint"), ["owner_id", "fingerprint"], "left_anti")
     kept = by_mark.join(marked.select("owner_id", "path"), ["owner_id", "path"], "left_anti")
+    for key in ("fingerprint", "path"):
+        last = Window.partitionBy("owner_id", key).orderBy(F.desc("imported_at"), "id")
+        marked = marked.withColumn("_rn", F.row_number().over(last)).where("_rn = 1").drop("_rn")
     both = kept.unionByName(marked.select(*kept.columns))
     w = Window.partitionBy("owner_id").orderBy(F.desc("imported_at"), "id")
     return both.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= cap).drop("_rn")

@@ -149,4 +149,4 @@ def coalesced_sink(stream: DataFrame, root: str, checkpoint: str, every: str = "
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/version={number:012d}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every)
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
