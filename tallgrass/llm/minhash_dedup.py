@@ -251,14 +251,15 @@ def near_duplicates(
     )
     mark = ["n_shingles", "m1", "m2"]
     full = signed.where("n_shingles > 0")
-    classes = full.groupBy(*mark).agg(F.min("doc_id").alias("rep"))
+    # (saved, so that the join can split the rows of a large class)
+    classes = space.save(full.groupBy(*mark).agg(F.min("doc_id").alias("rep")))
     members = space.save(
         full.join(classes, mark).select(
             "doc_id", *mark, "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands")
         )
     )
     empty = space.save(signed.where("n_shingles = 0").select("doc_id"))
-    space.drop(signed)
+    space.drop(signed, classes)
     reps = members.where("bands is not null").select("rep", F.col("n_shingles").alias("n"), "m1", "m2", "bands")
     banded = reps.select("rep", "n", F.explode("bands").alias("key")).distinct()
     buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
