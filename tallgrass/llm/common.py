@@ -35,6 +35,14 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the DataFrame doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Workspace:
     """Tables written to the shared folder to cut lineage.
 

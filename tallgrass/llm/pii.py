@@ -21,6 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm.columns import let, located
+from tallgrass.llm.common import unused
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 BASE_KINDS = 4
@@ -166,7 +167,7 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     texts stay null; ``n_chars``, where present, is counted anew for changed
     texts; all other columns pass unchanged.
     """
-    spans, columns = "_tallgrass_spans", docs.columns
+    spans, columns = unused(docs, "_spans"), docs.columns
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
     text = F.col("text")
 
@@ -186,8 +187,11 @@ def mask_pii(docs: DataFrame) -> DataFrame:
         cut,
         lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))),
     )
-    found = with_spans(docs, "text", spans)
-    out = {"text": F.when(F.size(spans) > 0, masked).otherwise(text)}
+    # a column of its own first: a lambda that names a column which the same
+    # projection replaces would see the new value
+    put = unused(docs, "_masked")
+    found = with_spans(docs, "text", spans).withColumn(put, F.when(F.size(spans) > 0, masked).otherwise(text))
+    new = {"text": F.col(put)}
     if "n_chars" in columns:
-        out["n_chars"] = F.when(F.size(spans) > 0, F.length(masked).cast("long")).otherwise(F.col("n_chars"))
-    return found.withColumns(out).select(*columns)
+        new["n_chars"] = F.when(F.size(spans) > 0, F.length(put).cast("long")).otherwise(F.col("n_chars"))
+    return found.select(*[new[c].alias(c) if c in new else F.col(f"`{c}`") for c in columns])

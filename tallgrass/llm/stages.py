@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.common import Workspace
+from tallgrass.llm.common import Workspace, unused
 from tallgrass.llm.decontam import doc_key
 from tallgrass.llm.minhash_dedup import near_duplicates
 from tallgrass.llm.mixing import mix
@@ -19,27 +19,31 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """
     space, columns = Workspace(spark), docs.columns
     keyed = docs.select(doc_key().alias("doc_id"), "text")
-    gone = space.save(near_duplicates(spark, keyed).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    rest = docs.join(gone, doc_key() == F.col("_gone"), "left_anti")
-    twins = space.save(keyed.groupBy(F.col("doc_id").alias("_twin")).count().where("count > 1").select("_twin"))
+    mark = unused(docs, "_key")
+    same = doc_key().eqNullSafe(F.col(mark))
+    gone = near_duplicates(spark, keyed).where(~F.col("kept")).select(F.col("doc_id").alias(mark)).distinct()
+    rest = docs.join(space.save(gone), doc_key() == F.col(mark), "left_anti")
+    twins = space.save(keyed.groupBy(F.col("doc_id").alias(mark)).count().where("count > 1").select(mark))
     if twins.isEmpty():
         return rest
-    alone = rest.join(twins, doc_key().eqNullSafe(F.col("_twin")), "left_anti")
-    again = rest.join(twins, doc_key().eqNullSafe(F.col("_twin")), "left_semi").dropDuplicates(["doc_id", "text"])
-    return alone.unionByName(again).select(*columns)
+    alone = rest.join(twins, same, "left_anti")
+    again = rest.join(twins, same, "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(again).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that the mix takes words from, with how many it takes.
 
-    Adds size, source_size, target and taken; a document of which nothing is
-    taken goes.
+    Adds size, source_size, target and taken, in place of columns of these
+    names; a document of which nothing is taken goes.
     """
+    docs = docs.drop("size", "source_size", "target", "taken")
     found = mix(spark, docs.select(doc_key().alias("doc_id"), "text", "source"))
+    key, source = unused(docs, "_key"), unused(docs, "_source")
     found = (
         found.where("taken > 0")
-        .groupBy(F.col("doc_id").alias("_key"), F.col("source").alias("_source"), "size", "source_size", "target")
+        .groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), "size", "source_size", "target")
         .agg(F.max("taken").alias("taken"))
     )
-    same = (doc_key() == F.col("_key")) & docs["source"].cast("string").eqNullSafe(F.col("_source"))
-    return docs.join(found, same).drop("_key", "_source")
+    same = (doc_key() == F.col(key)) & docs["source"].cast("string").eqNullSafe(F.col(source))
+    return docs.join(found, same).drop(key, source)
