@@ -35,8 +35,8 @@ from tallgrass.llm.common import Workspace
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-#: Words of a block; a small source has shorter blocks, about 64 of them.
-BLOCK, LEAST_BLOCKS = 128, 64
+#: Words of a block; a small source has shorter blocks, about 512 of them.
+BLOCK, LEAST_BLOCKS = 128, 512
 SLOTS, MAX_SHARDS, MAX_SOURCES = 4096, 16384, 100_000
 CHUNK_ROWS, MAX_CHUNKS = 2000, 1 << 16
 ROUNDS = 12

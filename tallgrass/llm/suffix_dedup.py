@@ -164,6 +164,8 @@ def refine(text: np.ndarray, positions: np.ndarray, length: int) -> np.ndarray:
         word = (word << bk.U64(8)) | padded[k : k + len(text)].astype(bk.U64)
     _, pointer = np.unique(word, return_inverse=True)
     depth, alive = 8, positions
+    if not len(alive):
+        return alive
     while True:
         step = min(depth, length - depth)
         depth += step
