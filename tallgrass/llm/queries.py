@@ -10,6 +10,7 @@ from tallgrass.llm.html_extract import extract_text
 from tallgrass.llm.langid import identify
 from tallgrass.llm.minhash_dedup import near_duplicates
 from tallgrass.llm.mixing import mix
+from tallgrass.llm.oracles import ORACLES
 from tallgrass.llm.pii import find_pii
 from tallgrass.llm.quality import judge
 from tallgrass.llm.secrets_scan import find_secrets
@@ -71,4 +72,4 @@ QUERIES = {
     "op10_benchmark_decontamination": op10_benchmark_decontamination,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
