@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -47,29 +48,44 @@ class Workspace:
     """Tables written to the shared folder to cut lineage.
 
     ``save`` writes a DataFrame as Parquet and reads it back, so that a lost
-    executor costs a re-read and not a recomputation. ``drop`` removes a saved
-    table that no later plan reads.
+    executor costs a re-read and not a recomputation. ``drop`` removes saved
+    tables that no later plan reads. What a lazy result still reads stays
+    until the driver ends, which removes the workspaces of its session.
     """
 
+    _roots: list[tuple[SparkSession, str]] = []
+
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/tallgrass-{uuid.uuid4().hex}"
-        self._open: dict[int, str] = {}
+        self._count = 0
 
     def save(self, df: DataFrame) -> DataFrame:
-        path = f"{self.root}/{len(self._open)}-{uuid.uuid4().hex[:8]}"
+        if not self._count:
+            if not Workspace._roots:
+                atexit.register(Workspace._sweep)
+            Workspace._roots.append((self.spark, self.root))
+        self._count += 1
+        path = f"{self.root}/{self._count}"
         df.write.parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self._open[id(out)] = path
         out._tallgrass_path = path
         return out
 
     def drop(self, *saved: DataFrame) -> None:
-        jvm = self.spark._jvm
-        conf = self.spark._jsc.hadoopConfiguration()
         for df in saved:
-            path = jvm.org.apache.hadoop.fs.Path(df._tallgrass_path)
-            path.getFileSystem(conf).delete(path, True)
+            _delete(self.spark, df._tallgrass_path)
+
+    @classmethod
+    def _sweep(cls) -> None:
+        for spark, root in cls._roots:
+            if spark.sparkContext._jsc is not None:  # not stopped yet
+                _delete(spark, root)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def saved_bytes(df: DataFrame) -> int:
