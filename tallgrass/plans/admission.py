@@ -70,7 +70,14 @@ def micro_batches(spark, d):
     return A.micro_batches(rows, window_ms=86_400_000, chars=150)
 
 
-@query("tool_guard")
+_GUARD = """recursive , x as (select source as turn, seq, time_ms, name as tool, concat(name, k) as sig, row_number() over (partition by source order by seq) as rn from ev),
+ r as (select turn, seq, rn, time_ms as first, [tool] as tools, [sig] as seen, 'run' as verdict from x where rn = 1 union all
+ select turn, seq, rn, first, case when v = 'run' then list_append(tools, tool) else tools end, case when v = 'run' then list_append(seen, sig) else seen end, v from (select x.turn, x.seq, x.rn, r.first, r.tools, r.seen, x.tool, x.sig,
+ case when x.time_ms - r.first > 1728000000 then 'time' when len(r.tools) >= 12 then 'calls' when len(list_filter(r.tools, lambda t: t = x.tool)) >= 3 then 'tool'
+ when list_contains(r.seen, x.sig) then 'repeat' else 'run' end as v from r join x on x.turn = r.turn and x.rn = r.rn + 1)) select turn, seq, verdict from r"""
+
+
+@query("tool_guard", _GUARD, EVENTS)
 def tool_guard(spark, d):
     rows = events(spark, d).selectExpr("source as turn", "seq", "time_ms", "name as tool", "concat(name, k) as signature")
     return A.tool_guard(rows, total_ms=20 * 86_400_000)
@@ -92,7 +99,13 @@ def heartbeats(spark, d):
     return A.heartbeats(events(spark, d).selectExpr("source as task", "seq", "time_ms", "name as content"), 259_200_000)
 
 
-@query("progress_bursts")
+_BURSTS = f"""recursive , {STEPS}, r as (select source, seq, rn, time_ms, name, time_ms as first, 1 as burst from x where rn = 1 union all
+ select x.source, x.seq, x.rn, x.time_ms, x.name, case when x.time_ms >= least(r.time_ms + 86400000, r.first + 259200000) then x.time_ms else r.first end,
+ case when x.time_ms >= least(r.time_ms + 86400000, r.first + 259200000) then r.burst + 1 else r.burst end from r join x on x.source = r.source and x.rn = r.rn + 1)
+ select source as task, min(time_ms) as first_ms, least(max(time_ms) + 86400000, min(time_ms) + 259200000) as due_ms, count(*) as updates, arg_max(name, seq) as content from r group by source, burst"""
+
+
+@query("progress_bursts", _BURSTS, EVENTS)
 def progress_bursts(spark, d):
     rows = events(spark, d).selectExpr("source as task", "seq", "time_ms", "name as content")
     return A.coalesced_progress(rows, 86_400_000, 3 * 86_400_000)
@@ -110,7 +123,15 @@ def live_entries(spark, d):
     return A.live_entries(events(spark, d), "source", "time_ms", 1_706_600_000_000, 172_800_000, 50)
 
 
-@query("owner_leases")
+_LEASES = """recursive , x as (select source % 20 as owner, seq, concat('i', k % 4) as who, case name when 'error' then 'release' when 'purchase' then 'takeover' else 'claim' end as action,
+ row_number() over (partition by source % 20 order by seq) as rn from ev),
+ r as (select owner, seq, rn, action <> 'release' as granted, case when action <> 'release' then who end as holder, case when action <> 'release' then 1 else 0 end as generation from x where rn = 1 union all
+ select owner, seq, rn, ok, case when action = 'release' then (case when ok then null else h end) when ok then who else h end, case when action <> 'release' and ok and h is distinct from who then g + 1 else g end
+ from (select x.owner, x.seq, x.rn, x.who, x.action, r.holder as h, r.generation as g, case when x.action = 'release' then coalesce(r.holder = x.who, false) else r.holder is null or r.holder = x.who or x.action = 'takeover' end as ok
+ from r join x on x.owner = r.owner and x.rn = r.rn + 1)) select owner, seq, granted, holder, cast(generation as bigint) as generation from r"""
+
+
+@query("owner_leases", _LEASES, EVENTS)
 def owner_leases(spark, d):
     rows = events(spark, d).selectExpr(
         "source % 20 as owner", "seq", "concat('i', k % 4) as instance",

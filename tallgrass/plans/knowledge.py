@@ -100,7 +100,19 @@ def normalized_hits(spark, d):
     return R.normalize_hits(rows, 5).select("query_id", "pos", "id", "rank")
 
 
-@query("chunk_documents")
+_EDGES = r"'^[\s\x{0B}\x{A0}]+|[\s\x{0B}\x{A0}]+$', '', 'g'"
+_CHUNKS = rf"""recursive , x as (select doc_id, i as rn, l[i] as line from (select doc_id, string_split_regex(substr(text, 1, 240000), '\r?\n') as l from documents), lateral unnest(range(1, len(l) + 1)) as t(i)),
+ r as (select doc_id, cast(0 as bigint) as rn, '' as heading, '' as body, '' as oh, '' as ot from documents union all
+ select doc_id, rn, case when title then regexp_replace(regexp_extract(line, '^#{{1,6}}\s+(.+)$', 1), {_EDGES}) else heading end, case when title then '' when over then added else concat(body, added) end,
+ case when title or over then heading else '' end, case when title or over then regexp_replace(body, {_EDGES}) else '' end from (select x.doc_id, x.rn, x.line, r.heading, r.body, regexp_matches(x.line, '^#{{1,6}}\s+.+$') as title,
+ case when r.body = '' then x.line else concat(chr(10), x.line) end as added, length(r.body) + length(case when r.body = '' then x.line else concat(chr(10), x.line) end) > 1600 and regexp_replace(r.body, {_EDGES}) <> '' as over
+ from r join x on x.doc_id = r.doc_id and x.rn = r.rn + 1)),
+ o as (select doc_id, rn, oh as heading, ot as t from r where ot <> '' union all select doc_id, 1000000000, heading, regexp_replace(body, {_EDGES}) from (select *, row_number() over (partition by doc_id order by rn desc) as b from r) where b = 1),
+ p as (select doc_id, rn, j, heading, substr(t, cast(j * 1600 + 1 as bigint), 1600) as text from o, lateral unnest(range(0, cast(ceil(length(t) / 1600.0) as bigint))) as u(j) where t <> '')
+ select doc_id, row_number() over (partition by doc_id order by rn, j) as chunk_no, heading, text from p"""
+
+
+@query("chunk_documents", _CHUNKS)
 def chunk_documents(spark, d):
     return R.chunks(table(spark, d, "documents"), ["doc_id"], "text")
 

@@ -111,7 +111,13 @@ def runnable_queue(spark, d):
     return L.runnable(latest(spark, d)).select("id", "priority", "created_at")
 
 
-@query("quota_admission")
+_QUOTA = """recursive , x as (select pool, concat(id, '-', seq) as id, owner_id as o, lane, lane_limit, row_number() over (partition by pool order by -priority, created_at, concat(id, '-', seq)) as rn from tk where status = 'queued'),
+ r as (select pool, id, rn, true as admitted, [{'o': o, 'l': lane}] as a from x where rn = 1 union all
+ select pool, id, rn, ok, case when ok then list_append(a, {'o': o, 'l': lane}) else a end from (select x.pool, x.id, x.rn, x.o, x.lane, r.a, len(r.a) < 4 and len(list_filter(r.a, lambda t: t.o = x.o)) < 2
+ and (x.lane is null or len(list_filter(r.a, lambda t: t.l = x.lane)) < x.lane_limit) as ok from r join x on x.pool = r.pool and x.rn = r.rn + 1)) select pool, id, admitted from r"""
+
+
+@query("quota_admission", _QUOTA, EVENTS, TASKS)
 def quota_admission(spark, d):
     rows = tasks(spark, d).withColumn("id", F.concat("id", F.lit("-"), F.col("seq").cast("string")))
     return L.admitted(rows)
@@ -163,7 +169,14 @@ def size_budget(spark, d):
     return rows.select("source", kept.alias("b")).select("source", "b.used", F.size("b.ids").cast("long").alias("taken"))
 
 
-@query("activity_ring")
+_RING = """recursive , x as (select id as task_id, seq, {'a': concat('a', priority % 30), 'c': status} as e, row_number() over (partition by id order by seq) as rn from tk),
+ r as (select task_id, rn, [e] as held from x where rn = 1 union all select x.task_id, x.rn, case when r.held[-1] = x.e then r.held
+ else list_append(list_filter(r.held, lambda t: t.a <> x.e.a), x.e)[-20:] end from r join x on x.task_id = r.task_id and x.rn = r.rn + 1),
+ f as (select *, row_number() over (partition by task_id order by rn desc) as b from r)
+ select task_id, i as position, held[i].a as activity_id, held[i].c as content from f, range(1, 21) t(i) where b = 1 and i <= len(held)"""
+
+
+@query("activity_ring", _RING, EVENTS, TASKS)
 def activity_ring(spark, d):
     rows = tasks(spark, d).selectExpr("id as task_id", "seq", "concat('a', priority % 30) as activity_id", "status as content")
     return L.activity_ring(rows)

@@ -128,7 +128,18 @@ def series_expansion(spark, d):
     return L.series(rows, 1_704_844_800_000, 1_705_708_800_000)
 
 
-@query("audio_turns")
+_TURNS = """recursive , x as (select source, seq, k * 100 as b, case name when 'signup' then 'start' when 'purchase' then 'stop' else 'chunk' end as kind, row_number() over (partition by source order by seq) as rn from ev),
+ r as (select source, seq, rn, case when kind = 'chunk' then list_filter([least(b, 8000)], lambda t: t <= 8000) else []::bigint[] end as roll, case when kind = 'start' then seq end as turn, cast(0 as hugeint) as bytes,
+ cast(null as bigint) as told, cast(null as hugeint) as size from x where rn = 1 union all
+ select x.source, x.seq, x.rn, case when x.kind = 'start' then []::bigint[] when x.kind = 'chunk' and r.turn is null
+ then list_append(r.roll, least(x.b, 8000))[list_filter(range(1, len(r.roll) + 3), lambda i: coalesce(list_sum(list_append(r.roll, least(x.b, 8000))[i:]), 0) <= 8000)[1]:] else r.roll end,
+ case when x.kind = 'start' then x.seq when x.kind = 'stop' then null else r.turn end,
+ case when x.kind = 'start' then coalesce(list_sum(r.roll), 0) when x.kind = 'chunk' and r.turn is not null then r.bytes + greatest(0, least(x.b, 12000 - r.bytes)) else r.bytes end,
+ case when x.kind = 'stop' and r.bytes > 0 then r.turn end, r.bytes from r join x on x.source = r.source and x.rn = r.rn + 1)
+ select source, told as start_seq, seq as stop_seq, cast(size as bigint) as bytes from r where told is not null"""
+
+
+@query("audio_turns", _TURNS, EVENTS)
 def audio_turns(spark, d):
     rows = events(spark, d).selectExpr(
         "source", "seq", "k * 100 as bytes", "case name when 'signup' then 'start' when 'purchase' then 'stop' else 'chunk' end as kind"
