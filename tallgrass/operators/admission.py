@@ -2,56 +2,51 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.operators.folds import nothing, ordered_fold
+from tallgrass.operators.folds import Rule, fold
 
 
-def dedup_ttl(events: DataFrame, ttl_ms: int = 300_000, most: int = 1024) -> DataFrame:
+def dedup_rule(ttl_ms: int = 300_000, most: int = 1024) -> Rule:
     """Accepted and repeated events per source. An id is known for ``ttl_ms``
     from its first acceptance, the bound included; repeats don't renew it.
     The oldest ids over ``most`` are forgotten."""
 
-    def start():
-        seen: OrderedDict[str, int] = OrderedDict()
+    def step(s: dict, e: dict):
+        seen, now = s["seen"], e["time_ms"]
+        while seen and now - next(iter(seen.values())) > ttl_ms:
+            del seen[next(iter(seen))]
+        again = e["id"] in seen
+        if not again:
+            seen[e["id"]] = now
+            if len(seen) > most:
+                del seen[next(iter(seen))]
+        return [(e["source"], e["seq"], e["id"], again)]
 
-        def step(e: dict):
-            now = e["time_ms"]
-            while seen and now - next(iter(seen.values())) > ttl_ms:
-                seen.popitem(last=False)
-            again = e["id"] in seen
-            if not again:
-                seen[e["id"]] = now
-                if len(seen) > most:
-                    seen.popitem(last=False)
-            return [(e["source"], e["seq"], e["id"], again)]
+    return Rule(("source",), "source long, seq long, id string, duplicate boolean", lambda: {"seen": {}}, step)
 
-        return step, nothing
 
-    return ordered_fold(events, ["source"], ["seq"], start, "source long, seq long, id string, duplicate boolean")
+def dedup_ttl(events: DataFrame, ttl_ms: int = 300_000, most: int = 1024) -> DataFrame:
+    return fold(events, dedup_rule(ttl_ms, most))
 
 
-def rate_limit(events: DataFrame, window_ms: int, most: int) -> DataFrame:
+def rate_rule(window_ms: int, most: int) -> Rule:
     """Per (source, name) windows that begin at their first event; rejected
     events count as well."""
 
-    def start():
-        state = [None, 0]
+    def step(s: dict, e: dict):
+        if s["began"] is None or e["time_ms"] - s["began"] >= window_ms:
+            s.update(began=e["time_ms"], n=0)
+        s["n"] += 1
+        return [(e["source"], e["name"], e["seq"], s["n"], s["n"] <= most)]
 
-        def step(e: dict):
-            if state[0] is None or e["time_ms"] - state[0] >= window_ms:
-                state[:] = [e["time_ms"], 0]
-            state[1] += 1
-            return [(e["source"], e["name"], e["seq"], state[1], state[1] <= most)]
+    schema = "source long, name string, seq long, count long, accepted boolean"
+    return Rule(("source", "name"), schema, lambda: {"began": None, "n": 0}, step)
 
-        return step, nothing
 
-    return ordered_fold(
-        events, ["source", "name"], ["seq"], start, "source long, name string, seq long, count long, accepted boolean"
-    )
+def rate_limit(events: DataFrame, window_ms: int, most: int) -> DataFrame:
+    return fold(events, rate_rule(window_ms, most))
 
 
 def retain_latest(events: DataFrame, keys: list[str], order: str) -> DataFrame:
@@ -59,28 +54,28 @@ def retain_latest(events: DataFrame, keys: list[str], order: str) -> DataFrame:
     return events.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
 
 
-def throttle(frames: DataFrame, interval_ms: int = 1000) -> DataFrame:
+def throttle_rule(interval_ms: int = 1000) -> Rule:
     """Frames accepted per source: none older than the last accepted, none
     sooner than ``interval_ms`` after it; only acceptance moves both marks."""
 
-    def start():
-        mark = [None, None]
+    def step(s: dict, f: dict):
+        if f["occurred_ms"] is not None and s["occurred"] is not None and f["occurred_ms"] < s["occurred"]:
+            why = "out_of_order"
+        elif s["accepted"] is not None and f["time_ms"] - s["accepted"] < interval_ms:
+            why = "rate_limited"
+        else:
+            why = "accepted"
+            s["accepted"] = f["time_ms"]
+            if f["occurred_ms"] is not None:
+                s["occurred"] = f["occurred_ms"]
+        return [(f["source"], f["seq"], why)]
 
-        def step(f: dict):
-            if f["occurred_ms"] is not None and mark[0] is not None and f["occurred_ms"] < mark[0]:
-                why = "out_of_order"
-            elif mark[1] is not None and f["time_ms"] - mark[1] < interval_ms:
-                why = "rate_limited"
-            else:
-                why = "accepted"
-                mark[1] = f["time_ms"]
-                if f["occurred_ms"] is not None:
-                    mark[0] = f["occurred_ms"]
-            return [(f["source"], f["seq"], why)]
+    schema = "source long, seq long, outcome string"
+    return Rule(("source",), schema, lambda: {"occurred": None, "accepted": None}, step)
 
-        return step, nothing
 
-    return ordered_fold(frames, ["source"], ["seq"], start, "source long, seq long, outcome string")
+def throttle(frames: DataFrame, interval_ms: int = 1000) -> DataFrame:
+    return fold(frames, throttle_rule(interval_ms))
 
 
 def fence(events: DataFrame, key: str, order: str, generation: str) -> DataFrame:
@@ -90,142 +85,148 @@ def fence(events: DataFrame, key: str, order: str, generation: str) -> DataFrame
     return events.withColumn("stale", F.coalesce(F.col(generation) < highest, F.lit(False)))
 
 
-def first_completions(events: DataFrame, key: str, ident: str, order: str, most: int = 100) -> DataFrame:
+def fence_rule() -> Rule:
+    """Rows below the highest generation seen before."""
+
+    def step(s: dict, e: dict):
+        stale = s["highest"] is not None and e["generation"] < s["highest"]
+        s["highest"] = e["generation"] if s["highest"] is None else max(s["highest"], e["generation"])
+        return [(e["source"], e["seq"], stale)]
+
+    return Rule(("source",), "source long, seq long, stale boolean", lambda: {"highest": None}, step)
+
+
+def completion_rule(most: int = 100) -> Rule:
     """First completion of each id; the last ``most`` ids are remembered."""
 
-    def start():
-        seen: OrderedDict[str, None] = OrderedDict()
+    def step(s: dict, e: dict):
+        if e["id"] in s["seen"]:
+            return ()
+        s["seen"][e["id"]] = 0
+        if len(s["seen"]) > most:
+            del s["seen"][next(iter(s["seen"]))]
+        return [(e["source"], e["seq"], e["id"])]
 
-        def step(e: dict):
-            if e[ident] in seen:
-                return ()
-            seen[e[ident]] = None
-            if len(seen) > most:
-                seen.popitem(last=False)
-            return [(e[key], e[order], e[ident])]
+    return Rule(("source",), "source long, seq long, id string", lambda: {"seen": {}}, step)
 
-        return step, nothing
 
-    return ordered_fold(events, [key], [order], start, f"{key} long, {order} long, {ident} string")
+def first_completions(events: DataFrame, most: int = 100) -> DataFrame:
+    return fold(events, completion_rule(most))
 
 
-def micro_batches(items: DataFrame, window_ms: int = 120, most: int = 8, chars: int = 6000) -> DataFrame:
+def batch_rule(window_ms: int = 120, most: int = 8, chars: int = 6000) -> Rule:
     """Batches of announcements: a batch ends ``window_ms`` after its first
     item, when the kind changes, or before it would pass its size; an item of
     any size starts one."""
 
-    def start():
-        b = {"n": 0, "first": None, "kind": None, "items": 0, "chars": 0}
+    def step(b: dict, i: dict):
+        size = i["chars"]
+        if (
+            b["first"] is None
+            or i["time_ms"] - b["first"] > window_ms
+            or i["kind"] != b["kind"]
+            or b["items"] >= most
+            or b["chars"] + size > chars
+        ):
+            b.update(n=b["n"] + 1, first=i["time_ms"], kind=i["kind"], items=0, chars=0)
+        b["items"] += 1
+        b["chars"] += size
+        return [(i["source"], i["seq"], b["n"], b["items"])]
 
-        def step(i: dict):
-            size = i["chars"]
-            if (
-                b["first"] is None
-                or i["time_ms"] - b["first"] > window_ms
-                or i["kind"] != b["kind"]
-                or b["items"] >= most
-                or b["chars"] + size > chars
-            ):
-                b.update(n=b["n"] + 1, first=i["time_ms"], kind=i["kind"], items=0, chars=0)
-            b["items"] += 1
-            b["chars"] += size
-            return [(i["source"], i["seq"], b["n"], b["items"])]
+    start = {"n": 0, "first": None, "kind": None, "items": 0, "chars": 0}
+    return Rule(("source",), "source long, seq long, batch long, place long", lambda: dict(start), step)
 
-        return step, nothing
 
-    return ordered_fold(items, ["source"], ["seq"], start, "source long, seq long, batch long, place long")
+def micro_batches(items: DataFrame, window_ms: int = 120, most: int = 8, chars: int = 6000) -> DataFrame:
+    return fold(items, batch_rule(window_ms, most, chars))
 
 
-def tool_guard(calls: DataFrame, total_ms: int = 30_000, most: int = 12, per_tool: int = 3) -> DataFrame:
+def guard_rule(total_ms: int = 30_000, most: int = 12, per_tool: int = 3) -> Rule:
     """Calls of a turn that may run: within its time, its number, the tool's
     number, and not an exact repeat; refused calls don't count."""
 
-    def start():
-        s = {"first": None, "n": 0, "tools": {}, "seen": set()}
+    def step(s: dict, c: dict):
+        if s["first"] is None:
+            s["first"] = c["time_ms"]
+        if c["time_ms"] - s["first"] > total_ms:
+            why = "time"
+        elif len(s["seen"]) >= most:
+            why = "calls"
+        elif s["tools"].get(c["tool"], 0) >= per_tool:
+            why = "tool"
+        elif c["signature"] in s["seen"]:
+            why = "repeat"
+        else:
+            why = "run"
+            s["tools"][c["tool"]] = s["tools"].get(c["tool"], 0) + 1
+            s["seen"].append(c["signature"])
+        return [(c["turn"], c["seq"], why)]
+
+    schema = "turn long, seq long, verdict string"
+    return Rule(("turn",), schema, lambda: {"first": None, "tools": {}, "seen": []}, step)
 
-        def step(c: dict):
-            if s["first"] is None:
-                s["first"] = c["time_ms"]
-            if c["time_ms"] - s["first"] > total_ms:
-                why = "time"
-            elif s["n"] >= most:
-                why = "calls"
-            elif s["tools"].get(c["tool"], 0) >= per_tool:
-                why = "tool"
-            elif c["signature"] in s["seen"]:
-                why = "repeat"
-            else:
-                why = "run"
-                s["n"] += 1
-                s["tools"][c["tool"]] = s["tools"].get(c["tool"], 0) + 1
-                s["seen"].add(c["signature"])
-            return [(c["turn"], c["seq"], why)]
 
-        return step, nothing
-
-    return ordered_fold(calls, ["turn"], ["seq"], start, "turn long, seq long, verdict string")
+def tool_guard(calls: DataFrame, total_ms: int = 30_000, most: int = 12, per_tool: int = 3) -> DataFrame:
+    return fold(calls, guard_rule(total_ms, most, per_tool))
 
 
-def debounce(events: DataFrame, wait_ms: int = 30 * 60_000) -> DataFrame:
+def debounce_rule(wait_ms: int = 30 * 60_000) -> Rule:
     """Events per owner that pass: the first, and those ``wait_ms`` or more
     after the last that passed; ``eligible`` events only."""
 
-    def start():
-        last = [None]
+    def step(s: dict, e: dict):
+        passed = bool(e["eligible"]) and (s["last"] is None or e["time_ms"] - s["last"] >= wait_ms)
+        if passed:
+            s["last"] = e["time_ms"]
+        return [(e["owner"], e["seq"], passed)]
 
-        def step(e: dict):
-            if not e["eligible"] or (last[0] is not None and e["time_ms"] - last[0] < wait_ms):
-                return [(e["owner"], e["seq"], False)]
-            last[0] = e["time_ms"]
-            return [(e["owner"], e["seq"], True)]
+    return Rule(("owner",), "owner long, seq long, passed boolean", lambda: {"last": None}, step)
 
-        return step, nothing
 
-    return ordered_fold(events, ["owner"], ["seq"], start, "owner long, seq long, passed boolean")
+def debounce(events: DataFrame, wait_ms: int = 30 * 60_000) -> DataFrame:
+    return fold(events, debounce_rule(wait_ms))
 
 
-def heartbeats(progress: DataFrame, interval_ms: int = 1000) -> DataFrame:
+def heartbeat_rule(interval_ms: int = 1000) -> Rule:
     """Progress per task that is emitted: changed, or ``interval_ms`` old."""
 
-    def start():
-        last = [None, None]
+    def step(s: dict, p: dict):
+        send = s["sent"] is None or p["content"] != s["content"] or p["time_ms"] - s["sent"] >= interval_ms
+        if send:
+            s.update(sent=p["time_ms"], content=p["content"])
+        return [(p["task"], p["seq"], send)]
 
-        def step(p: dict):
-            send = last[0] is None or p["content"] != last[1] or p["time_ms"] - last[0] >= interval_ms
-            if send:
-                last[:] = [p["time_ms"], p["content"]]
-            return [(p["task"], p["seq"], send)]
+    return Rule(("task",), "task long, seq long, sent boolean", lambda: {"sent": None, "content": None}, step)
 
-        return step, nothing
 
-    return ordered_fold(progress, ["task"], ["seq"], start, "task long, seq long, sent boolean")
+def heartbeats(progress: DataFrame, interval_ms: int = 1000) -> DataFrame:
+    return fold(progress, heartbeat_rule(interval_ms))
 
 
-def coalesced_progress(progress: DataFrame, quiet_ms: int, most_ms: int) -> DataFrame:
+def burst_rule(quiet_ms: int, most_ms: int) -> Rule:
     """Bursts of progress per task, each told once by its latest content: a
     burst ends after a quiet period, or ``most_ms`` after it began."""
 
-    def start():
-        b = {}
+    def due(b: dict) -> int:
+        return min(b["last"] + quiet_ms, b["first"] + most_ms)
+
+    def told(b: dict):
+        return [(b["task"], b["first"], due(b), b["n"], b["content"])] if b else []
 
-        def flush():
-            if not b:
-                return []
-            out = [(b["task"], b["first"], min(b["last"] + quiet_ms, b["first"] + most_ms), b["n"], b["content"])]
+    def step(b: dict, p: dict):
+        done = []
+        if b and p["time_ms"] >= due(b):
+            done = told(b)
             b.clear()
-            return out
+        b.setdefault("first", p["time_ms"])
+        b.update(task=p["task"], last=p["time_ms"], content=p["content"], n=b.get("n", 0) + 1)
+        return done
 
-        def step(p: dict):
-            done = flush() if b and p["time_ms"] >= min(b["last"] + quiet_ms, b["first"] + most_ms) else []
-            b.setdefault("first", p["time_ms"])
-            b.update(task=p["task"], last=p["time_ms"], content=p["content"], n=b.get("n", 0) + 1)
-            return done
+    return Rule(("task",), "task long, first_ms long, due_ms long, updates long, content string", dict, step, told)
 
-        return step, flush
 
-    return ordered_fold(
-        progress, ["task"], ["seq"], start, "task long, first_ms long, due_ms long, updates long, content string"
-    )
+def coalesced_progress(progress: DataFrame, quiet_ms: int, most_ms: int) -> DataFrame:
+    return fold(progress, burst_rule(quiet_ms, most_ms))
 
 
 def sessions(events: DataFrame, key: str, time: str, ttl_ms: int) -> DataFrame:
@@ -258,31 +259,51 @@ def live_entries(accesses: DataFrame, key: str, time: str, now: int, ttl_ms: int
     return last.orderBy(F.desc("last_ms"), key).limit(most)
 
 
-def owner_lease(claims: DataFrame) -> DataFrame:
+def owner_rule() -> Rule:
     """Exclusive lease per owner with a generation. A claim succeeds for the
     holder, where the holder is gone, or by takeover; a new holder raises the
     generation. Actions: claim, takeover, release."""
 
-    def start():
-        s = {"holder": None, "generation": 0}
-
-        def step(c: dict):
-            who, action = c["instance"], c["action"]
-            if action == "release":
-                ok = s["holder"] == who
-                if ok:
-                    s["holder"] = None
-            else:
-                ok = s["holder"] in (None, who) or action == "takeover"
-                if ok and s["holder"] != who:
-                    s.update(holder=who, generation=s["generation"] + 1)
-            return [(c["owner"], c["seq"], ok, s["holder"], s["generation"])]
-
-        return step, nothing
-
-    return ordered_fold(
-        claims, ["owner"], ["seq"], start, "owner long, seq long, granted boolean, holder string, generation long"
-    )
+    def step(s: dict, c: dict):
+        who, action = c["instance"], c["action"]
+        if action == "release":
+            ok = s["holder"] == who
+            if ok:
+                s["holder"] = None
+        else:
+            ok = s["holder"] in (None, who) or action == "takeover"
+            if ok and s["holder"] != who:
+                s.update(holder=who, generation=s["generation"] + 1)
+        return [(c["owner"], c["seq"], ok, s["holder"], s["generation"])]
+
+    schema = "owner long, seq long, granted boolean, holder string, generation long"
+    return Rule(("owner",), schema, lambda: {"holder": None, "generation": 0}, step)
+
+
+def owner_lease(claims: DataFrame) -> DataFrame:
+    return fold(claims, owner_rule())
+
+
+def lease_rule(ttl_ms: int = 60_000) -> Rule:
+    """Delivery states of tasks; a claim lapses after its time to live.
+    Actions: pending, claim, deliver, release."""
+
+    def step(s: dict, a: dict):
+        if s["state"] == "delivering" and a["time_ms"] - s["since"] >= ttl_ms:
+            s["state"] = "pending"
+        before, action = s["state"], a["action"]
+        if action == "pending" and before == "none":
+            s["state"] = "pending"
+        elif action == "claim" and before == "pending":
+            s.update(state="delivering", since=a["time_ms"])
+        elif action == "deliver" and before == "delivering":
+            s["state"] = "delivered"
+        elif action == "release" and before == "delivering":
+            s["state"] = "pending"
+        return [(a["task_id"], a["seq"], s["state"], before != s["state"])]
+
+    schema = "task_id string, seq long, state string, granted boolean"
+    return Rule(("task_id",), schema, lambda: {"state": "none", "since": 0}, step)
 
 
 def undelivered(pending: DataFrame, deliveries: DataFrame, now: int, delay_ms: int = 5000) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
-from tallgrass.operators.folds import ordered_fold
+from tallgrass.operators.folds import Rule, fold
 
 CONFIRM_TARGET, SESSION_TARGET = 2, 2
 STALE_MS = 90 * 86_400_000
@@ -27,52 +27,42 @@ def fold_evidence(observations: DataFrame, stale_ms: int = STALE_MS, lists: dict
     list field keeps a slot per value and drops its weakest, then oldest.
     """
 
-    def start():
-        slots: dict[str, dict] = {}
-        where = []
-
-        def step(o: dict):
-            if not where:
-                where.extend((o["owner_id"], o["field"]))
-            many = o["field"] in lists
-            value, at, session = o["value"], o["at"], o["session_id"]
-            key = value if many else ""
-            slot = slots.get(key)
-            if slot is None:
-                if many and len(slots) >= lists[o["field"]]:
-                    weakest = sorted(slots.items(), key=lambda x: (x[1]["confirm"], x[1]["last"]))
-                    for name, _ in weakest[: len(slots) - lists[o["field"]] + 1]:
-                        del slots[name]
-                slots[key] = {
-                    "value": value, "confirm": 1, "sessions": [session] if session else [],
-                    "first": at, "last": at, "state": "tentative",
-                }
-                return ()
-            if slot["state"] == "rejected":
-                return ()
-            if at - slot["last"] > stale_ms:
-                slot["confirm"], slot["sessions"] = 0, []
-            link = o["relation"] or ("same" if slot["value"] == value else "contradict")
-            if link == "contradict":
-                slot |= {"value": value, "confirm": 1, "sessions": [session] if session else [], "first": at, "state": "tentative"}
-            else:
-                if link == "refine":
-                    slot["value"] = value
-                slot["confirm"] += 1
-                if session and session not in slot["sessions"]:
-                    slot["sessions"].append(session)
-            slot["last"] = at
+    def step(s: dict, o: dict):
+        slots, field, value, at, session = s["slots"], o["field"], o["value"], o["at"], o["session_id"]
+        s.update(owner=o["owner_id"], field=field)
+        key = value if field in lists else ""
+        fresh = [session] if session else []
+        slot = slots.get(key)
+        if slot is None:
+            if field in lists and len(slots) >= lists[field]:
+                weakest = sorted(slots.items(), key=lambda x: (x[1]["confirm"], x[1]["last"]))
+                for name, _ in weakest[: len(slots) - lists[field] + 1]:
+                    del slots[name]
+            slots[key] = {"value": value, "confirm": 1, "sessions": fresh, "first": at, "last": at, "state": "tentative"}
             return ()
-
-        def end():
-            return [
-                (*where, s["value"], s["confirm"], len(s["sessions"]), s["first"], s["last"], s["state"])
-                for s in slots.values()
-            ]
-
-        return step, end
-
-    return ordered_fold(observations, ["owner_id", "field"], ["seq"], start, SLOTS)
+        if slot["state"] == "rejected":
+            return ()
+        if at - slot["last"] > stale_ms:
+            slot.update(confirm=0, sessions=[])
+        link = o["relation"] or ("same" if slot["value"] == value else "contradict")
+        if link == "contradict":
+            slot.update(value=value, confirm=1, sessions=fresh, first=at, state="tentative")
+        else:
+            if link == "refine":
+                slot["value"] = value
+            slot["confirm"] += 1
+            if session and session not in slot["sessions"]:
+                slot["sessions"].append(session)
+        slot["last"] = at
+        return ()
+
+    def end(s: dict):
+        return [
+            (s["owner"], s["field"], x["value"], x["confirm"], len(x["sessions"]), x["first"], x["last"], x["state"])
+            for x in s["slots"].values()
+        ]
+
+    return fold(observations, Rule(("owner_id", "field"), SLOTS, lambda: {"slots": {}}, step, end))
 
 
 def ready(confirm: Column, sessions: Column) -> Column:

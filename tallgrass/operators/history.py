@@ -146,15 +146,12 @@ def turn_timeline(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     )
     t = tasks.groupBy("session_id", "turn_id").agg(F.count(F.lit(1)).alias("tasks"), F.min("time_ms").alias("tt"))
     both = m.join(t, ["session_id", "turn_id"], "full").withColumn("time_ms", F.least("tm", "tt"))
-    talked = both.where("messages is not null").select("session_id", F.col("arrival").alias("at"), F.col("time_ms").alias("t"))
-    only = both.where("messages is null")
-    # the first later turn in arrival order: the least arrival among later times
-    place = (
-        only.join(talked, (only["session_id"] == talked["session_id"]) & (talked["t"] > only["time_ms"]), "left")
-        .groupBy(only["session_id"], only["turn_id"])
-        .agg(F.min("at").alias("before"))
+    # the first later turn of messages: the least arrival over greater times
+    later = Window.partitionBy("session_id").orderBy(-F.col("time_ms")).rangeBetween(Window.unboundedPreceding, -1)
+    arrival = F.when(F.col("time_ms").isNotNull(), F.col("arrival"))
+    placed = both.withColumn("_at", arrival).withColumn(
+        "before", F.when(F.col("messages").isNull() & F.col("time_ms").isNotNull(), F.min("_at").over(later))
     )
-    placed = both.join(place, ["session_id", "turn_id"], "left")
     far = F.lit(1 << 62)
     w = Window.partitionBy("session_id").orderBy(
         F.coalesce("arrival", "before", far), F.when(F.col("messages").isNull(), 0).otherwise(1), "time_ms", "turn_id"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallgrass.operators.folds import nothing, ordered_fold
+from tallgrass.operators.folds import Rule, fold
 
 ACTIVE = ("scheduled", "queued", "running", "delegated", "finalizing", "cancelling")
 TERMINAL = ("completed", "failed", "cancelled")
@@ -164,22 +164,18 @@ def admitted(tasks: DataFrame, total: int = 4, per_owner: int = 2) -> DataFrame:
     so ranks don't give the answer. Tasks are judged per ``pool``.
     """
 
-    def start():
-        running: list[dict] = []
-
-        def step(t: dict):
-            lane = t["lane"]
-            ok = len(running) < total and sum(r["owner_id"] == t["owner_id"] for r in running) < per_owner
-            if ok and lane:
-                ok = sum(r["lane"] == lane for r in running) < (t["lane_limit"] or 1)
-            if ok:
-                running.append(t)
-            return [(t["pool"], t["id"], ok)]
-
-        return step, nothing
+    def step(s: dict, t: dict):
+        running = s["running"]
+        ok = len(running) < total and sum(r[0] == t["owner_id"] for r in running) < per_owner
+        if ok and t["lane"]:
+            ok = sum(r[1] == t["lane"] for r in running) < (t["lane_limit"] or 1)
+        if ok:
+            running.append((t["owner_id"], t["lane"]))
+        return [(t["pool"], t["id"], ok)]
 
+    rule = Rule(("pool",), "pool long, id string, admitted boolean", lambda: {"running": []}, step)
     ready = tasks.where("status = 'queued'").withColumn("_neg", -F.col("priority"))
-    return ordered_fold(ready, ["pool"], ["_neg", "created_at", "id"], start, "pool long, id string, admitted boolean")
+    return fold(ready, rule, ("_neg", "created_at", "id"))
 
 
 def idempotent(submissions: DataFrame) -> DataFrame:
@@ -228,29 +224,21 @@ def activity_ring(updates: DataFrame, n: int = 20) -> DataFrame:
     """Recency list of activities by id: an update moves to the end, one equal
     to the last is skipped, the last n stay."""
 
-    def start():
-        held: list[tuple] = []
-        key = []
-
-        def step(r: dict):
-            key[:] = [r["task_id"]]
-            entry = (r["activity_id"], r["content"])
-            if held and held[-1] == entry:
-                return ()
+    def step(s: dict, r: dict):
+        held, entry = s["held"], [r["activity_id"], r["content"]]
+        s["task"] = r["task_id"]
+        if not held or held[-1] != entry:
             if r["activity_id"] is not None:
                 held[:] = [e for e in held if e[0] != r["activity_id"]]
             held.append(entry)
             del held[:-n]
-            return ()
+        return ()
 
-        def end():
-            return [(key[0], i + 1, a, c) for i, (a, c) in enumerate(held)]
+    def end(s: dict):
+        return [(s["task"], i + 1, a, c) for i, (a, c) in enumerate(s["held"])]
 
-        return step, end
-
-    return ordered_fold(
-        updates, ["task_id"], ["seq"], start, "task_id string, position int, activity_id string, content string"
-    )
+    schema = "task_id string, position int, activity_id string, content string"
+    return fold(updates, Rule(("task_id",), schema, lambda: {"held": []}, step, end))
 
 
 def shown_activity(activity: DataFrame) -> DataFrame:

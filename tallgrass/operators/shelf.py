@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallgrass.functions import schedule as C
 from tallgrass.functions import text as T
-from tallgrass.operators.folds import ordered_fold
+from tallgrass.operators.folds import Rule, fold
 
 FREE_DELIVERY, DELIVERY_FEE, DEFAULT_ETA = 35, 5, 25
 
@@ -172,31 +172,26 @@ def audio_turns(chunks: DataFrame, pre_roll: int, most: int) -> DataFrame:
     """Bytes of each spoken turn: the last ``pre_roll`` bytes before speech,
     then its own, at most ``most``. Kinds: chunk, start, stop, end."""
 
-    def start():
-        s = {"roll": [], "turn": None, "bytes": 0}
-
-        def step(c: dict):
-            out = ()
-            if c["kind"] == "chunk":
-                if s["turn"] is None:
-                    s["roll"].append(min(c["bytes"], pre_roll))
-                    while sum(s["roll"]) > pre_roll and s["roll"]:
-                        s["roll"].pop(0)
-                elif s["bytes"] < most:
-                    s["bytes"] += min(c["bytes"], most - s["bytes"])
-            elif c["kind"] == "start":
-                s.update(turn=c["seq"], bytes=sum(s["roll"]), roll=[])
-            elif c["kind"] == "stop":
-                if s["turn"] is not None and s["bytes"]:
-                    out = [(c["source"], s["turn"], c["seq"], s["bytes"])]
-                s["turn"] = None
-            else:
-                s.update(turn=None, roll=[])
-            return out
-
-        return step, tuple
-
-    return ordered_fold(chunks, ["source"], ["seq"], start, "source long, start_seq long, stop_seq long, bytes long")
+    def step(s: dict, c: dict):
+        if c["kind"] == "chunk":
+            if s["turn"] is None:
+                s["roll"].append(min(c["bytes"], pre_roll))
+                while s["roll"] and sum(s["roll"]) > pre_roll:
+                    s["roll"].pop(0)
+            elif s["bytes"] < most:
+                s["bytes"] += min(c["bytes"], most - s["bytes"])
+        elif c["kind"] == "start":
+            s.update(turn=c["seq"], bytes=sum(s["roll"]), roll=[])
+        elif c["kind"] == "stop":
+            turn, s["turn"] = s["turn"], None
+            if turn is not None and s["bytes"]:
+                return [(c["source"], turn, c["seq"], s["bytes"])]
+        else:
+            s.update(turn=None, roll=[])
+        return ()
+
+    schema = "source long, start_seq long, stop_seq long, bytes long"
+    return fold(chunks, Rule(("source",), schema, lambda: {"roll": [], "turn": None, "bytes": 0}, step))
 
 
 def read_cases(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

@@ -51,13 +51,13 @@ def generation_fence(spark, d):
 
 @query("first_completions", "select source, min(seq) as seq, id from ev group by source, id", EVENTS)
 def first_completions(spark, d):
-    return A.first_completions(events(spark, d).select("source", "seq", "id"), "source", "id", "seq")
+    return A.first_completions(events(spark, d).select("source", "seq", "id"))
 
 
 @query("call_dedup", "select source, min(seq) as seq, cast(k as varchar) as id from ev group by source, k", EVENTS)
 def call_dedup(spark, d):
     rows = events(spark, d).select("source", "seq", F.col("k").cast("string").alias("id"))
-    return A.first_completions(rows, "source", "id", "seq", most=500)
+    return A.first_completions(rows, most=500)
 
 
 @query("micro_batches", f"""recursive , {STEPS}, r as (select source, seq, rn, time_ms as first, name as kind, 1 as batch, 1 as place, k as chars from x where rn = 1 union all

@@ -218,12 +218,10 @@ def status_list(spark, d):
     return latest(spark, d).orderBy(F.desc("created_at"), "id").limit(20).select("id", F.substring("status", 1, 4).alias("status"), "created_at")
 
 
-@query("endpoint_order", """select id, row_number() over (order by case when scope = 'user' then 0 else 1 end, case when policy = 'silent' then 1 else 0 end, id) as place from lt""", *CTES)
+@query("endpoint_order", """select id, scope <> 'user' as internal, policy = 'silent' as silent from lt order by internal, silent, id""", *CTES)
 def endpoint_order(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.orderBy(F.when(F.col("scope") == "user", 0).otherwise(1), F.when(F.col("policy") == "silent", 1).otherwise(0), "id")
-    return latest(spark, d).select("id", F.row_number().over(w).alias("place"))
+    rows = latest(spark, d).select("id", (F.col("scope") != "user").alias("internal"), (F.col("policy") == "silent").alias("silent"))
+    return rows.orderBy("internal", "silent", "id")
 
 
 @query("permission_grants", f""", x as (select *, row_number() over (partition by session_id order by seq desc) rn from tk)

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallgrass.operators.folds import Rule, fold
+
 JOURNAL_FILE = "session.jsonl"
 HEADER = "schema string, type string, version int, sessionId string, createdAt string, ownerId string"
 EVENT = (
@@ -98,17 +100,15 @@ def inspect(states: DataFrame) -> DataFrame:
 def within_caps(files: DataFrame, max_files: int, max_bytes: int) -> DataFrame:
     """Files in path order that fit a byte budget; one that doesn't fit is
     skipped without using any of it."""
-    listed = F.array_sort(F.collect_list(F.struct("path", "bytes")))
 
-    def step(acc: Column, f: Column) -> Column:
-        fits = (F.size(acc["paths"]) < max_files) & (acc["used"] + f["bytes"] <= max_bytes)
-        return F.struct(
-            F.when(fits, acc["used"] + f["bytes"]).otherwise(acc["used"]).alias("used"),
-            F.when(fits, F.concat(acc["paths"], F.array(f["path"]))).otherwise(acc["paths"]).alias("paths"),
-        )
+    def step(s: dict, f: dict):
+        if s["files"] >= max_files or s["bytes"] + f["bytes"] > max_bytes:
+            return ()
+        s.update(files=s["files"] + 1, bytes=s["bytes"] + f["bytes"])
+        return [(f["path"],)]
 
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("paths"))
-    return files.agg(F.aggregate(listed, start, step).alias("kept")).select(F.explode("kept.paths").alias("path"))
+    rule = Rule(("_all",), "path string", lambda: {"files": 0, "bytes": 0}, step)
+    return fold(files.select("path", "bytes", F.lit(0).alias("_all")), rule, ("path",))
 
 
 def append_events(journal: DataFrame, drafts: DataFrame) -> DataFrame:

@@ -1,8 +1,8 @@
-"""Streaming forms of the admission rules.
+"""Streams: keyed rules in the state store, tails of journals, and sinks.
 
-State lives in the state store, one small record per key, with timers where a
-key must be forgotten. Each gives the rows that its batch form gives when rows
-of a key arrive in order.
+A rule gives on a stream the rows that its batch fold gives, as long as a
+key's rows arrive in order: both run the same step. The state of a key is one
+small JSON record.
 """
 
 from __future__ import annotations
@@ -15,114 +15,40 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-STATE = "value string"
+from tallgrass.operators.folds import Rule
 
 
-class _JsonState(StatefulProcessor):
-    """A processor with one JSON record per key."""
+class RuleProcessor(StatefulProcessor):
+    """Runs a rule's step over the rows of a key, sorted within a batch."""
 
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.record = handle.getValueState("record", STATE)
+    def __init__(self, rule: Rule, order: tuple[str, ...] = ("seq",)):
+        self.rule, self.order = rule, list(order)
 
-    def load(self, default):
-        return json.loads(self.record.get()[0]) if self.record.exists() else default
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.record = handle.getValueState("record", "value string")
 
-    def save(self, value) -> None:
-        self.record.update((json.dumps(value),))
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        state = json.loads(self.record.get()[0]) if self.record.exists() else self.rule.initial()
+        frame = pd.concat(list(rows)).sort_values(self.order, kind="stable")
+        plain = frame.astype(object).where(frame.notna(), None)
+        out = [r for row in plain.to_dict("records") for r in self.rule.step(state, row)]
+        self.record.update((json.dumps(state, default=_number),))
+        names = [field.split()[0] for field in self.rule.schema.split(", ")]
+        yield pd.DataFrame(out, columns=names)
 
     def close(self) -> None:
         pass
 
 
-class DedupTtl(_JsonState):
-    """First arrivals of ids per source, remembered for a time."""
-
-    OUTPUT = "source long, seq long, id string, duplicate boolean"
-    ttl_ms, most = 300_000, 1024
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        seen = dict(self.load([]))
-        out = []
-        for frame in rows:
-            for r in frame.sort_values("seq").itertuples():
-                seen = {k: t for k, t in seen.items() if r.time_ms - t <= self.ttl_ms}
-                again = r.id in seen
-                if not again:
-                    seen[r.id] = int(r.time_ms)
-                    if len(seen) > self.most:
-                        del seen[next(iter(seen))]
-                out.append((key[0], r.seq, r.id, again))
-        self.save(list(seen.items()))
-        yield pd.DataFrame(out, columns=["source", "seq", "id", "duplicate"])
-
-
-class RateLimit(_JsonState):
-    """Windows that begin at their first event; refused events count."""
-
-    OUTPUT = "source long, name string, seq long, count long, accepted boolean"
-    window_ms, most = 60_000, 5
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        began, count = self.load([None, 0])
-        out = []
-        for frame in rows:
-            for r in frame.sort_values("seq").itertuples():
-                if began is None or r.time_ms - began >= self.window_ms:
-                    began, count = int(r.time_ms), 0
-                count += 1
-                out.append((key[0], key[1], r.seq, count, count <= self.most))
-        self.save([began, count])
-        yield pd.DataFrame(out, columns=["source", "name", "seq", "count", "accepted"])
-
-
-class Fence(_JsonState):
-    """Rows below the highest generation seen before."""
-
-    OUTPUT = "source long, seq long, stale boolean"
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        highest = self.load(None)
-        out = []
-        for frame in rows:
-            for r in frame.sort_values("seq").itertuples():
-                out.append((key[0], r.seq, highest is not None and r.generation < highest))
-                highest = int(r.generation) if highest is None else max(highest, int(r.generation))
-        self.save(highest)
-        yield pd.DataFrame(out, columns=["source", "seq", "stale"])
-
+def _number(value):
+    """Numbers of array libraries as JSON numbers."""
+    return value.item()
 
-class Lease(_JsonState):
-    """Delivery states of tasks; a claim lapses after its time to live."""
 
-    OUTPUT = "task_id string, seq long, state string, granted boolean"
-    ttl_ms = 60_000
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        state, since = self.load(["none", 0])
-        out = []
-        for frame in rows:
-            for r in frame.sort_values("seq").itertuples():
-                now = int(r.time_ms)
-                if state == "delivering" and now - since >= self.ttl_ms:
-                    state = "pending"
-                before = state
-                if r.action == "pending" and state == "none":
-                    state = "pending"
-                elif r.action == "claim" and state == "pending":
-                    state, since = "delivering", now
-                elif r.action == "deliver" and state == "delivering":
-                    state = "delivered"
-                elif r.action == "release" and state == "delivering":
-                    state = "pending"
-                out.append((key[0], r.seq, state, before != state))
-        self.save([state, since])
-        yield pd.DataFrame(out, columns=["task_id", "seq", "state", "granted"])
-
-
-def run_processor(events: DataFrame, keys: list[str], processor: StatefulProcessor) -> DataFrame:
-    """Applies a processor to a stream; needs the RocksDB state store."""
-    return events.groupBy(*keys).transformWithStateInPandas(
-        statefulProcessor=processor, outputStructType=processor.OUTPUT, outputMode="Append", timeMode="None"
+def run_rule(events: DataFrame, rule: Rule, order: tuple[str, ...] = ("seq",)) -> DataFrame:
+    """Applies a rule to a stream; needs the RocksDB state store."""
+    return events.groupBy(*rule.keys).transformWithStateInPandas(
+        statefulProcessor=RuleProcessor(rule, order), outputStructType=rule.schema, outputMode="Append", timeMode="None"
     )
 
 
@@ -143,10 +69,11 @@ def tail_journal(spark, root: str, schema) -> DataFrame:
 
 
 def coalesced_sink(stream: DataFrame, root: str, checkpoint: str, every: str = "250 milliseconds"):
-    """Writes each micro-batch as a version; a repeated batch replaces its own
-    version, so a retry leaves one copy."""
+    """Starts a query that writes each micro-batch as a version; a repeated
+    batch replaces its own version, so a retry leaves one copy."""
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{root}/version={number:012d}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return writer.trigger(processingTime=every).start()
