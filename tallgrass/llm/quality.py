@@ -9,8 +9,8 @@ never the verdict.
 
 Defined results. A null, empty or word-less text has zero words and fails the
 base rule. Repeated rows are judged each; other input columns are ignored; an
-empty table gives no rows and needs no sample. The eight-word windows are
-named by 64-bit hashes of their words.
+empty table gives no rows and needs no sample. Words and eight-word windows
+are named by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -55,23 +55,29 @@ def repeated_words(w: Column) -> Column:
         )
 
     def windows(v: Column) -> Column:
+        # by place and not by slice, which copies the whole array each time
         return F.transform(
-            F.sequence(F.lit(1), F.size(v) - (WINDOW - 1)), lambda i: F.xxhash64(F.slice(v, i, WINDOW))
+            F.sequence(F.lit(0), F.size(v) - WINDOW), lambda i: F.xxhash64(*[F.get(v, i + k) for k in range(WINDOW)])
         )
 
     def count(h: Column) -> Column:
         return F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0)).otherwise(covered(h))
 
-    return let(w, lambda v: F.when(F.size(v) >= WINDOW, let(windows(v), count)).otherwise(0)).cast("long")
+    named = F.transform(w, lambda x: F.xxhash64(x))
+    return let(named, lambda v: F.when(F.size(v) >= WINDOW, let(windows(v), count)).otherwise(0)).cast("long")
 
 
-def statistics(text: Column, w: Column) -> dict[str, Column]:
-    lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
+def _lines(body: Column) -> Column:
+    """Lines that hold a word."""
+    return F.filter(F.split(body, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
+
+
+def statistics(body: Column, w: Column) -> dict[str, Column]:
     return {
         "n_words": F.size(w).cast("long"),
-        "word_chars": F.length(F.regexp_replace(text, "[ \\t-\\r]+", "")).cast("long"),
-        "n_symbols": F.length(F.regexp_replace(text, "[^#*$%&|<>]+", "")).cast("long"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
+        "word_chars": F.length(F.regexp_replace(body, "[ \\t-\\r]+", "")).cast("long"),
+        "n_symbols": F.length(F.regexp_replace(body, "[^#*$%&|<>]+", "")).cast("long"),
+        "lines": let(_lines(body), lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup"))),
         "n_repeat_words": repeated_words(w),
     }
 
@@ -80,21 +86,19 @@ def base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
 
 
-def rules(body: Column, w: Column) -> dict[str, Column]:
-    """Rejecting rules over a text and its words; each computes what it needs."""
-    n = F.size(w)
-    chars = F.length(F.regexp_replace(body, "[ \\t-\\r]+", ""))
-    symbols = F.length(F.regexp_replace(body, "[^#*$%&|<>]+", ""))
+def rules(body: Column, w: Column, known: dict[str, Column] | None = None) -> dict[str, Column]:
+    """Rejecting rules over a text and its words. Each computes what it needs,
+    unless ``known`` gives the statistics."""
+    own = known or statistics(body, w)
+    n, chars = own["n_words"], own["word_chars"]
     letters = F.length(F.regexp_replace(body, "\\P{L}+", ""))
     capitals = F.length(F.regexp_replace(body, "\\P{Lu}+", ""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike("[^ \\t-\\r]"))
-    again = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("dup")))
     return {
         "few_words": n < MIN_WORDS,
-        "repeated_words": 100 * repeated_words(w) > MAX_REPEAT_PERCENT * n,
-        "symbols": 10 * symbols > n,
+        "repeated_words": 100 * own["n_repeat_words"] > MAX_REPEAT_PERCENT * n,
+        "symbols": 10 * own["n_symbols"] > n,
         "word_length": let(chars, lambda c: (c < 2 * n) | (c > 15 * n)),
-        "duplicate_lines": let(again, lambda x: (x["dup"] >= 3) & (100 * x["dup"] > 40 * x["n"])),
+        "duplicate_lines": let(own["lines"], lambda x: (x["dup"] >= 3) & (100 * x["dup"] > 40 * x["n"])),
         "capitals": let(letters, lambda x: (x >= 40) & (10 * capitals > 5 * x)),
         "letters": 2 * letters < chars,
         "few_distinct_words": (n < 400) & (10 * F.size(F.array_distinct(w)) < n),
@@ -110,17 +114,18 @@ def _over_words(text: Column, verdict) -> Column:
     return let(body, lambda b: let(words(b), lambda w: verdict(b, w)))
 
 
-def passes(text: Column, order: list[str]) -> Column:
+def _cascade(table: dict[str, Column], order: list[str]) -> Column:
     """True where no rule rejects; after a hit no later rule is evaluated."""
+    out = None
+    for name in order:
+        hit = F.coalesce(table[name], F.lit(False))
+        out = F.when(hit, False) if out is None else out.when(hit, False)
+    return out.otherwise(True)
 
-    def verdict(b: Column, w: Column) -> Column:
-        table, out = rules(b, w), None
-        for name in order:
-            hit = F.coalesce(table[name], F.lit(False))
-            out = F.when(hit, False) if out is None else out.when(hit, False)
-        return out.otherwise(True)
 
-    return _over_words(text, verdict)
+def passes(text: Column, order: list[str]) -> Column:
+    """The cascade's verdict on a text."""
+    return _over_words(text, lambda b, w: _cascade(rules(b, w), order))
 
 
 def plan_cascade(spark: SparkSession, docs: DataFrame, rows: int = SAMPLE_ROWS) -> list[str]:
@@ -145,10 +150,14 @@ def judge(spark: SparkSession, docs: DataFrame) -> DataFrame:
     order = [x for x in plan_cascade(spark, docs) if x not in BASE_RULES]
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     ready = plain.withColumn("body", F.coalesce("text", F.lit(""))).withColumn("w", words(F.col("body")))
-    found = ready.withColumns(statistics(F.col("body"), F.col("w"))).withColumn("base_failed", base_failed())
-    kept = F.when(F.col("base_failed"), False).otherwise(passes(F.col("text"), order))
-    names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
-    return found.select(*names, kept.alias("kept"))
+    own = statistics(F.col("body"), F.col("w"))
+    found = ready.withColumns(own).withColumn("base_failed", base_failed())
+    known = {name: F.col(name) for name in own}
+    kept = F.when(F.col("base_failed"), False).otherwise(_cascade(rules(F.col("body"), F.col("w"), known), order))
+    return found.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", F.col("lines.dup").cast("long").alias("n_dup_lines"),
+        "n_repeat_words", "base_failed", kept.alias("kept"),
+    )
 
 
 def keep_good(spark: SparkSession, docs: DataFrame) -> DataFrame:
