@@ -19,7 +19,8 @@ source of its own; rows that repeat a doc_id are separate documents. A source
 without words has target 0. Other input columns are ignored; an empty table
 gives no rows. No document is taken more than three times. The driver holds
 one row per source, at most ``MAX_SOURCES``, and one number per source and
-shard, at most ``MAX_SHARDS`` of these.
+shard, at most about ``MAX_DRAWS``: beyond that shards grow and not their
+number.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ WEIGHTS = (1, 2, 3)
 CAP = 3
 #: Words of a block; a small source has shorter blocks, about 512 of them.
 BLOCK, LEAST_BLOCKS = 128, 512
-SLOTS, MAX_SHARDS, MAX_SOURCES = 4096, 16384, 100_000
+SLOTS, MAX_DRAWS, MAX_SOURCES = 4096, 1_000_000, 100_000
 CHUNK_ROWS, MAX_CHUNKS = 2000, 1 << 16
 ROUNDS = 12
 
@@ -72,7 +73,7 @@ def wanted_slots(size: int, target: Fraction, block: int) -> int:
 def draw_shards(totals: list[int], slots: int, seed: int) -> np.ndarray:
     """(shards, sources) slot counts whose columns add up to ``totals``."""
     left = np.array(totals, dtype=np.int64)
-    shards = int(min(MAX_SHARDS, max(1, -(-int(left.sum()) // slots))))
+    shards = min(max(1, MAX_DRAWS // len(totals)), max(1, -(-int(left.sum()) // slots)))
     out = np.zeros((shards, len(totals)), dtype=np.int64)
     for m in range(shards):
         rng = np.random.default_rng([seed, m])
