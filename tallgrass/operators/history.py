@@ -154,7 +154,7 @@ def turn_timeline(messages: DataFrame, tasks: DataFrame) -> DataFrame:
     )
     far = F.lit(1 << 62)
     w = Window.partitionBy("session_id").orderBy(
-        F.coalesce("arrival", "before", far), F.when(F.col("messages").isNull(), 0).otherwise(1), "time_ms", "turn_id"
+        F.coalesce("arrival", "before", far), F.when(F.col("messages").isNull(), 0).otherwise(1), F.asc_nulls_last("time_ms"), "turn_id"
     )
     return placed.select(
         "session_id",
