@@ -67,7 +67,7 @@ def citation_lines(spark, d):
 
 
 @query("link_harvest", """, x as (select page_id, concat('see [a](', url, '), then ', url, '. And http://x.example/', page_id % 5, '!') as t from pages)
- select page_id, 0 as pos, url from pages union all select page_id, 1, concat('http://x.example/', page_id % 5) from pages""")
+ select page_id, cast(0 as bigint) as pos, url from pages union all select page_id, 1, concat('http://x.example/', page_id % 5) from pages""")
 def link_harvest(spark, d):
     text = F.concat(F.lit("see [a]("), "url", F.lit("), then "), "url", F.lit(". And http://x.example/"), (F.col("page_id") % 5).cast("string"), F.lit("!"))
     return W.harvest_links(table(spark, d, "pages").select("page_id", text.alias("t")), "page_id", "t")
@@ -85,7 +85,7 @@ def search_page_results(spark, d):
     return W.parse_results(table(spark, d, "pages").select("page_id", page.alias("p")), "page_id", "p", "b_algo")
 
 
-@query("json_results", "select event_id, 0 as pos, concat('https://a/', event_id) as url, 'n' as title, props as snippet from events")
+@query("json_results", "select event_id, cast(0 as bigint) as pos, concat('https://a/', event_id) as url, 'n' as title, props as snippet from events")
 def json_results(spark, d):
     body = F.concat(F.lit('{"meta":1,"items":[{"link":"https://a/'), F.col("event_id").cast("string"), F.lit('","name":"n","content":"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"}]}'))
     rows = table(spark, d, "events").select("event_id", body.alias("b"))
@@ -126,7 +126,7 @@ _SHORT = "length(text) <= 1500 and not regexp_matches(text, '(?m)^#{1,6}\\s')"
  s as (select query_id, doc_id, (case when contains(meta, exact) then 80 else 0 end) + (case when contains(content, exact) then 60 else 0 end)
  + list_sum(list_transform(terms, lambda t: (case when contains(meta, t) then 12 else 0 end) + (case when contains(content, t) then 8 else 0 end))) as score from dn, q),
  r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s where score > 0)
- select query_id, doc_id, 1 as chunk_no, cast(score as bigint) as score, rank from r where rank <= 5""")
+ select query_id, doc_id, cast(1 as bigint) as chunk_no, cast(score as bigint) as score, rank from r where rank <= 5""")
 def lexical_topk(spark, d):
     docs = table(spark, d, "documents").where(r"length(text) <= 1500 and not text rlike '(?m)^#{1,6}\\s'")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))

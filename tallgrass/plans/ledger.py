@@ -225,9 +225,9 @@ def endpoint_order(spark, d):
 
 
 @query("permission_grants", f""", x as (select *, row_number() over (partition by session_id order by seq desc) rn from tk)
- select session_id, seq, policy as mode from x where rn = 1 and {NOW + 150_000_000} - time_ms < 21600000 order by time_ms desc, session_id limit 500""", EVENTS, TASKS)
+ select session_id, seq, policy as mode from x where rn = 1 and {NOW + 10_000_000} - time_ms < 21600000 order by time_ms desc, session_id limit 500""", EVENTS, TASKS)
 def permission_grants(spark, d):
-    return L.granted(tasks(spark, d), NOW + 150_000_000).selectExpr("session_id", "seq", "policy as mode")
+    return L.granted(tasks(spark, d), NOW + 10_000_000).selectExpr("session_id", "seq", "policy as mode")
 
 
 @query("public_events", """select seq, case status when 'queued' then 'task.accepted' when 'running' then 'task.started' when 'completed' then 'task.completed'

@@ -32,7 +32,7 @@ def favorites(spark, d):
 
 
 @query("cart_totals", """, x as (select source, cast(sum(k * (seq % 3 + 1)) as bigint) as subtotal, min(k % 40) as eta from ev where seq % 10 = 0 group by 1)
- select source, subtotal, case when subtotal >= 35 then 0 else 5 end as delivery_fee, subtotal + case when subtotal >= 35 then 0 else 5 end as total, coalesce(nullif(eta, 0), 25) as eta from x""", EVENTS)
+ select source, subtotal, cast(case when subtotal >= 35 then 0 else 5 end as bigint) as delivery_fee, subtotal + case when subtotal >= 35 then 0 else 5 end as total, coalesce(nullif(eta, 0), 25) as eta from x""", EVENTS)
 def cart_totals(spark, d):
     rows = events(spark, d).where("seq % 10 = 0").selectExpr("source", "k as price", "seq % 3 + 1 as quantity", "concat(k % 40, '分钟') as eta")
     return L.cart_totals(rows, "source")
@@ -44,7 +44,7 @@ def route_totals(spark, d):
     return L.route_totals(rows, "source")
 
 
-@query("artifact_views", """select concat('t', seq) as task_id, 0 as index, 'text' as kind, name as content, 'text/plain' as media from ev where k % 4 = 0
+@query("artifact_views", """select concat('t', seq) as task_id, cast(0 as bigint) as index, 'text' as kind, name as content, 'text/plain' as media from ev where k % 4 = 0
  union all select concat('t', seq), 1, 'image', 'data:image/png;base64,QUJD', 'image/png' from ev where k % 3 = 0
  union all select concat('t', seq), 2, 'file', concat('https://x/', k), 'application/octet-stream' from ev where k % 5 <> 0""", EVENTS)
 def artifact_views(spark, d):
