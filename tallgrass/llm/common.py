@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -81,6 +82,8 @@ class Workspace:
         for spark, root in cls._roots:
             if spark.sparkContext._jsc is not None:  # not stopped yet
                 _delete(spark, root)
+            elif root.startswith(("file:", "/")):
+                shutil.rmtree(root.removeprefix("file://"), ignore_errors=True)
 
 
 def _delete(spark: SparkSession, path: str) -> None:
