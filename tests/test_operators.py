@@ -309,3 +309,46 @@ def test_library_import(spark):
         "owner_id string, id string, path string, extension string, content string, imported_at long",
     )
     assert rows(store.import_documents(held, new), "id") == [("d",)]
+
+
+def naive_lists(data, cap=6, stale=E.STALE_MS):
+    """Slots of a list field as a plain list per owner, oldest slot first."""
+    owners = {}
+    for owner, session, _, value, relation, at, _ in sorted(data, key=lambda r: r[-1]):
+        held = owners.setdefault(owner, [])
+        slot = next((s for s in held if s[0] == value), None)
+        if slot is None:
+            while len(held) >= cap:
+                held.remove(min(held, key=lambda s: (s[1], s[3])))
+            held.append([value, 1, {session}, at])
+            continue
+        if at - slot[3] > stale:
+            slot[1], slot[2] = 0, set()
+        if relation == "contradict":
+            slot[1], slot[2] = 1, {session}
+        else:
+            slot[1] += 1
+            slot[2].add(session)
+        slot[3] = at
+    return sorted((o, s[0], s[1], len(s[2]), s[3]) for o, held in owners.items() for s in held)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_list_evidence_against_model(spark, seed):
+    rng, t, data = random.Random(seed), 0, []
+    for i in range(400):
+        t += rng.randrange(1, 6 * DAY)
+        relation = rng.choice([None, None, None, "refine", "contradict"])
+        data.append((f"o{rng.randrange(3)}", f"s{rng.randrange(9)}", "special_skills", f"v{rng.randrange(10)}", relation, t, i))
+    got = rows(E.fold_evidence(spark.createDataFrame(data, OBS)), "owner_id", "value", "confirm", "sessions", "last_at")
+    assert got == naive_lists(data)
+
+
+def test_positional_pairs(spark):
+    cases = spark.createDataFrame(
+        [("c", json.dumps([call("a"), call("b", x=1), call("c")]), json.dumps([call("a", turn=1), call("x", x=1)])), ("d", None, None)],
+        "case_id string, expected string, actual string",
+    )
+    assert rows(S.positional(cases), "i", "name", "arguments", "turn", "path") == [
+        (0, True, True, False, True), (1, False, True, True, True), (2, False, True, False, False),
+    ]
