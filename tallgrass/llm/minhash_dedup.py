@@ -14,8 +14,9 @@ emits all pairs of a large group:
    groups of near copies in time linear in their size;
 2. in buckets of up to ``SMALL`` members, the pairs still in different
    components are compared;
-3. larger buckets are cut in blocks; a task compares two blocks in place and
-   returns only links that join two components.
+3. larger buckets are cut in blocks; what lies outside the smallest member's
+   component visits every block, and a task compares it with the rows at home
+   there and returns only links that join two components.
 
 Defined results. A null or word-less text has no shingles, is linked with
 nothing and is kept. A text of one to four words is one shingle, its whole
@@ -166,37 +167,32 @@ def _confirm(num: int, den: int):
 
 
 def _block_links(num: int, den: int):
-    """Links between members of two blocks that join two components.
+    """Links of a block of a bucket that join two components.
 
-    Columns: key, side_lo, side_hi, side, rep, component, n, bands, shingles.
-    A pair is compared in the first band in which it meets, and only while
-    its ends are still apart.
+    Columns: key, block, home, main, rep, component, n, bands, shingles. The
+    rows outside the bucket's main component are compared with the rows at
+    home in the block. A pair is compared in the first band in which it meets,
+    and only while its ends are still apart.
     """
 
     def run(group: pa.Table) -> pa.Table:
         t = group.combine_chunks()
         key = t["key"][0].as_py()
-        lo, hi = t["lo"][0].as_py(), t["hi"][0].as_py()
-        side, rep = t["side"].to_numpy(), t["rep"].to_numpy()
-        component, n = t["component"].to_numpy(), t["n"].to_numpy()
+        rep, component, n = (t[c].to_numpy() for c in ("rep", "component", "n"))
+        home, main = (t[c].to_numpy(zero_copy_only=False) for c in ("home", "main"))
         bands = np.array(t["bands"].to_pylist(), dtype=np.int64)
         band = int(np.flatnonzero(bands[0] == key)[0])
         sets = [np.frombuffer(x, dtype=bk.U64) for x in t["shingles"].to_pylist()]
-        left, right = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
-        names, flat = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
-        starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in right])[:-1]]).astype(np.int64)
-        parent: dict[int, int] = {}
-
-        def find(x: int) -> int:
-            while parent.get(x, x) != x:
-                x = parent[x]
-            return x
-
         links, root = [], component.copy()
+        left, right = np.flatnonzero(~main), np.flatnonzero(home)
+        if len(left) and len(right):
+            names, flat = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
+            starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in right])[:-1]]).astype(np.int64)
+        else:
+            left = left[:0]
         for i in left:
-            able = (root[right] != root[i]) & (rep[right] != rep[i])
-            if lo == hi:
-                able &= rep[right] > rep[i]
+            # two rows outside the main component meet twice, at either's home
+            able = (root[right] != root[i]) & (main[right] | (rep[right] > rep[i]))
             able &= den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i])
             if band:
                 able &= ~(bands[right, :band] == bands[i, :band]).any(axis=1)
@@ -209,11 +205,10 @@ def _block_links(num: int, den: int):
             both = np.add.reduceat(mine[flat], starts)
             linked = able & (den * both >= num * (n[right] + n[i] - both))
             for j in right[linked]:
-                x, y = find(int(root[i])), find(int(root[j]))
-                if x != y:
-                    parent[max(x, y)] = min(x, y)
+                if root[i] != root[j]:
                     links.append((int(rep[i]), int(rep[j])))
-                    root[root == max(x, y)] = min(x, y)
+                    low, high = sorted((root[i], root[j]))
+                    root[root == high] = low
         return pa.table(
             {"a": pa.array([x[0] for x in links], type=pa.int64()), "b": pa.array([x[1] for x in links], type=pa.int64())}
         )
@@ -262,7 +257,9 @@ def near_duplicates(
     space.drop(signed, classes)
     reps = members.where("bands is not null").select("rep", F.col("n_shingles").alias("n"), "m1", "m2", "bands")
     banded = reps.select("rep", "n", F.explode("bands").alias("key")).distinct()
-    buckets = banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    buckets = space.save(
+        banded.groupBy("key").agg(F.min("rep").alias("leader"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    )
     hits = space.save(banded.join(buckets, "key").select("key", "rep", "n", "leader", "m"))
 
     chosen = hits.select("rep").distinct()
@@ -288,14 +285,16 @@ def near_duplicates(
             "component", F.coalesce("component", "rep")
         )
     )
-    open_keys = (
+    open_keys = space.save(
         placed.groupBy("key")
-        .agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
+        .agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("component", "rep").alias("main")
+        )
         .where("c0 < c1")
-        .select("key")
+        .select("key", "main")
     )
-    rest = space.save(placed.join(open_keys, "key", "left_semi"))
-    space.drop(placed)
+    rest = space.save(placed.join(open_keys, "key").withColumn("main", F.col("component") == F.col("main")))
+    space.drop(placed, open_keys, buckets)
 
     # 2: the pairs of small buckets
     few = rest.where(F.col("m") <= SMALL).select("key", "rep", "n", "leader", "component")
@@ -310,17 +309,19 @@ def near_duplicates(
     )
     more = _compare(pairs, sets, num, den)
 
-    # 3: blocks of large buckets
-    side = F.pmod(F.xxhash64("rep"), F.ceil(F.col("m") / F.lit(BLOCK)))
+    # 3: blocks of large buckets; what the smallest member's component holds
+    # stays in its own block, the others visit all blocks
+    blocks = F.ceil(F.col("m") / F.lit(BLOCK))
+    own = F.pmod(F.xxhash64("rep"), blocks)
     many = (
         rest.where(F.col("m") > SMALL)
-        .withColumn("side", side)
-        .withColumn("other", F.explode(F.sequence(F.lit(0), F.ceil(F.col("m") / F.lit(BLOCK)) - 1)))
-        .select("key", F.least("side", "other").alias("lo"), F.greatest("side", "other").alias("hi"), "side", "rep", "component")
+        .withColumn("own", own)
+        .withColumn("block", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))))
+        .select("key", "block", (F.col("block") == F.col("own")).alias("home"), "main", "rep", "component")
         .join(sets, "rep")
     )
-    blocks = many.groupBy("key", "lo", "hi").applyInArrow(_block_links(num, den), "a long, b long")
-    every = space.save(links.unionByName(more).unionByName(blocks))
+    found = many.groupBy("key", "block").applyInArrow(_block_links(num, den), "a long, b long")
+    every = space.save(links.unionByName(more).unionByName(found))
     final = connected(space, every)
     joined = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
         "doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")
