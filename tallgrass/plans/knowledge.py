@@ -117,7 +117,9 @@ def chunk_documents(spark, d):
     return R.chunks(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-#: Documents of one chunk, so that SQL can score them whole.
+#: Documents of one chunk: the SQL scores these only, and the first 60
+#: characters of a query. The query searches all documents by whole queries, so
+#: the two differ wherever others score.
 _SHORT = "length(text) <= 1500 and not regexp_matches(text, '(?m)^#{1,6}\\s')"
 
 
@@ -128,8 +130,8 @@ _SHORT = "length(text) <= 1500 and not regexp_matches(text, '(?m)^#{1,6}\\s')"
  r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s where score > 0)
  select query_id, doc_id, cast(1 as bigint) as chunk_no, cast(score as bigint) as score, rank from r where rank <= 5""")
 def lexical_topk(spark, d):
-    docs = table(spark, d, "documents").where(r"length(text) <= 1500 and not text rlike '(?m)^#{1,6}\\s'")
-    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.substring("text", 1, 60).alias("query"))
+    docs = table(spark, d, "documents")
+    asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return R.search(docs.select("doc_id", F.col("source").alias("metadata"), "text"), asked, 5)
 
 
