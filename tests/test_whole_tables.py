@@ -1,5 +1,7 @@
 """Queries take every row of their tables: small tables beyond the former bounds."""
 
+import datetime
+import json
 import re
 
 from test_operators import naive_chunks
@@ -47,3 +49,23 @@ def test_lexical_topk_searches_all_documents_by_whole_queries(spark, tmp_path):
     assert got == naive_top(docs, asked)
     assert [(r[1], r[2] > 1) for r in got if r[0] == 1 and r[-1] == 1] == [(2, True)]
     assert {r[1] for r in got if r[0] == 2} == {3, 4}
+
+
+EVENT = "user_id long, event_id long, event_type string, ts timestamp, value double, props string"
+
+
+def put_events(spark, folder, seqs, k):
+    at = datetime.datetime(2024, 1, 1)
+    put(spark, folder, "events", [(s % 3, s, "click", at, 1.0, json.dumps({"k": k(s)})) for s in seqs], EVENT)
+
+
+def test_traces_take_all_events(spark, tmp_path):
+    put_events(spark, tmp_path, range(3990, 4020), lambda s: 1)
+    aligned = Q["align_calls"](spark, str(tmp_path)).collect()
+    assert len(aligned) == 30 and all(r.expected_index == r.actual_index for r in aligned)
+    assert sorted({r.case_id for r in aligned}) == ["c0", "c1", "c2"]
+    assert Q["positional_pairs"](spark, str(tmp_path)).count() == 30
+    folder = tmp_path / "dropped"
+    put_events(spark, folder, range(4000, 4006), lambda s: 5 if s < 4003 else 7)
+    got = {r.case_id: (r.missing, r.extra) for r in Q["missing_calls"](spark, str(folder)).collect()}
+    assert got == {f"c{i}": (1, 1) for i in range(3)}
