@@ -69,3 +69,11 @@ def test_traces_take_all_events(spark, tmp_path):
     put_events(spark, folder, range(4000, 4006), lambda s: 5 if s < 4003 else 7)
     got = {r.case_id: (r.missing, r.extra) for r in Q["missing_calls"](spark, str(folder)).collect()}
     assert got == {f"c{i}": (1, 1) for i in range(3)}
+
+
+def test_name_match_answers_all_customers(spark, tmp_path):
+    asked = [(300, 1, "Customer#0007"), (301, 1, "Customer#0007"), (5000, 2, "Customer#00"), (5001, 3, "Customer#0009")]
+    put(spark, tmp_path, "customer", asked, "c_custkey long, c_nationkey int, c_name string")
+    put(spark, tmp_path, "supplier", [(7, 1), (8, 2), (9, 2)], "s_suppkey long, s_nationkey int")
+    got = sorted((r.request_id, r.name, r.state) for r in Q["name_match"](spark, str(tmp_path)).collect())
+    assert got == [(300, "customer#0007", "found"), (301, "customer#0007", "found"), (5000, None, "ambiguous"), (5001, None, "missing")]
