@@ -77,3 +77,12 @@ def test_name_match_answers_all_customers(spark, tmp_path):
     put(spark, tmp_path, "supplier", [(7, 1), (8, 2), (9, 2)], "s_suppkey long, s_nationkey int")
     got = sorted((r.request_id, r.name, r.state) for r in Q["name_match"](spark, str(tmp_path)).collect())
     assert got == [(300, "customer#0007", "found"), (301, "customer#0007", "found"), (5000, None, "ambiguous"), (5001, None, "missing")]
+
+
+def test_cart_totals_and_audio_resample_take_all_events(spark, tmp_path):
+    put_events(spark, tmp_path, range(195, 225), lambda s: s % 7)
+    carts = {r.source: (r.subtotal, r.total) for r in Q["cart_totals"](spark, str(tmp_path)).collect()}
+    sums = {u: sum(s % 7 * (s % 3 + 1) for s in range(195, 225) if s % 3 == u) for u in range(3)}
+    assert carts == {u: (x, x + (0 if x >= 35 else 5)) for u, x in sums.items()}
+    heard = sorted((r.seq, r.samples) for r in Q["audio_resample"](spark, str(tmp_path)).collect())
+    assert heard == [(s, 240) for s in range(195, 225)]
