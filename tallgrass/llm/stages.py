@@ -10,10 +10,15 @@ from tallgrass.llm.decontam import doc_key
 from tallgrass.llm.minhash_dedup import near_duplicates
 from tallgrass.llm.mixing import mix
 
+#: Least similarity of near copies in hundredths; 24 bands of 4 miss a pair at
+#: it with a chance of about 3e-6.
+NEAR = 80
+
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """One document of each near-duplicate group, with its own columns.
 
+    Copies are near from a similarity of ``NEAR`` hundredths, below op1's own.
     Rows without a doc_id are told apart by their texts; rows that repeat both
     doc_id and text become one.
     """
@@ -21,7 +26,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame) -> DataFrame:
     keyed = docs.select(doc_key().alias("doc_id"), "text")
     mark = unused(docs, "_key")
     same = doc_key().eqNullSafe(F.col(mark))
-    gone = near_duplicates(spark, keyed).where(~F.col("kept")).select(F.col("doc_id").alias(mark)).distinct()
+    gone = near_duplicates(spark, keyed, num=NEAR).where(~F.col("kept")).select(F.col("doc_id").alias(mark)).distinct()
     rest = docs.join(space.save(gone), doc_key() == F.col(mark), "left_anti")
     twins = space.save(keyed.groupBy(F.col("doc_id").alias(mark)).count().where("count > 1").select(mark))
     if twins.isEmpty():
