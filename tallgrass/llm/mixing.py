@@ -5,7 +5,10 @@ An output shard draws how many slots each source fills from a multinomial
 over what is still wanted of each source, so that the totals of all shards
 are exact. The slots of a source are numbered on across shards; slot q takes
 the block at place ``q mod n`` of permutation ``q div n`` of the source's n
-blocks. Slots and blocks meet in a join by (source, block).
+blocks. Slots and blocks meet in a join by (source, block); the output is a
+row per slot of a shard with the words of its block, and what is taken of each
+document is counted on that output. Slots of a shard are permuted too, so that
+sources alternate.
 
 A permutation is a swap-or-not shuffle: a bijection of any length, computed
 for one index from a seed, so that no list of indices is ever shuffled.
@@ -31,7 +34,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.columns import words
+from tallgrass.llm.columns import let, words
 from tallgrass.llm.common import Workspace
 
 WEIGHTS = (1, 2, 3)
@@ -114,71 +117,112 @@ def _sources(spark: SparkSession, sized: DataFrame, seed: int, block: int) -> tu
     )
     counts = draw_shards(totals, SLOTS, seed) if sum(totals) else np.zeros((0, len(rows)), dtype=np.int64)
     first = np.cumsum(counts, axis=0) - counts
+    base = np.cumsum(counts, axis=1) - counts
     drawn = spark.createDataFrame(
-        [(m, i, int(first[m, i]), int(counts[m, i])) for m in range(len(counts)) for i in np.flatnonzero(counts[m]).tolist()],
-        "shard long, k long, first long, slots long",
+        [(m, i, int(first[m, i]), int(counts[m, i]), int(base[m, i]), int(counts[m].sum())) for m in range(len(counts)) for i in np.flatnonzero(counts[m]).tolist()],
+        "shard long, k long, first long, slots long, base long, total long",
     )
     return named, drawn
 
 
-def mix(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for each row."""
-    space = Workspace(spark)
+def _mixed(space: Workspace, docs: DataFrame, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """(one row per document with its place, one row per slot of a shard)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    sized = space.save(
-        docs.select(
-            F.col("doc_id").cast("long").alias("doc_id"),
-            F.col("source").cast("string").alias("source"),
-            F.size(words(text)).cast("long").alias("size"),
-        )
+    rows = docs.select(
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("source").cast("string").alias("source"),
+        F.size(words(text)).cast("long").alias("size"),
+        F.xxhash64(text).alias("mark"),
+        text.alias("text"),
     )
-    named, drawn = _sources(spark, sized, seed, block)
+    sized = space.save(rows.drop("text"))
+    named, drawn = _sources(space.spark, sized, seed, block)
     chunks = min(MAX_CHUNKS, max(1, sized.count() // CHUNK_ROWS))
 
-    # places of the documents in their sources' streams, by two running sums
-    placed = sized.join(F.broadcast(named), sized["source"].eqNullSafe(named["source"])).drop(named["source"])
-    placed = placed.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size"), F.lit(chunks)))
-    inside = Window.partitionBy("k", "chunk").orderBy("doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    # places of the documents in their sources' streams, by two running sums;
+    # rows equal in doc_id, size and text may swap places
+    inside = Window.partitionBy("k", "chunk").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
     before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy("k", "chunk")
+
+    def chunked(df: DataFrame) -> DataFrame:
+        known = named.select("k", F.col("source").alias("_source"), "source_size", "target", "block")
+        met = df.join(F.broadcast(known), df["source"].eqNullSafe(F.col("_source"))).drop("_source")
+        return met.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(chunks)))
+
+    offsets = space.save(
+        chunked(sized)
+        .groupBy("k", "chunk")
         .agg(F.sum("size").alias("words"))
         .select("k", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
     )
-    offsets = space.save(offsets)
-    placed = placed.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(offsets, ["k", "chunk"]).withColumn("start", F.col("offset") + F.col("within"))
-    placed = space.save(placed.select("doc_id", "source", "size", "k", "source_size", "target", "block", "start"))
-
-    # blocks of each document, and the slots that take them
-    last = F.floor((F.col("start") + F.col("size") - 1) / F.col("block"))
-    parts = (
-        placed.where("size > 0")
-        .select("k", "start", "size", "block", F.explode(F.sequence(F.floor(F.col("start") / F.col("block")), last)).alias("b"))
+
+    def placed(df: DataFrame) -> DataFrame:
+        within = chunked(df).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+        return within.join(offsets, ["k", "chunk"]).withColumn("start", F.col("offset") + F.col("within"))
+
+    places = space.save(placed(sized).select("doc_id", "source", "size", "k", "source_size", "target", "start"))
+
+    # the words of each block, from the documents' pieces in stream order
+    start, size, length = F.col("start"), F.col("size"), F.col("block")
+
+    def piece(w: Column, b: Column) -> Column:
+        low, high = F.greatest(start, b * length), F.least(start + size, (b + 1) * length)
+        cut = F.slice(w, (low - start + 1).cast("int"), (high - low).cast("int"))
+        return F.struct(b.alias("b"), (high - low).alias("words"), F.array_join(cut, " ").alias("text"))
+
+    numbers = F.sequence(F.floor(start / length), F.floor((start + size - 1) / length))
+    cuts = let(words(F.col("text")), lambda w: F.transform(numbers, lambda b: piece(w, b)))
+    pieces = placed(rows).where("size > 0").select("k", "start", "doc_id", F.explode(cuts).alias("p"))
+    packed = (
+        pieces.select("k", F.col("p.b").alias("b"), F.struct("start", "doc_id", "p.words", "p.text").alias("p"))
+        .groupBy("k", "b")
+        .agg(F.array_sort(F.collect_list("p")).alias("parts"))
         .select(
             "k",
-            "start",
             "b",
-            (
-                F.least(F.col("start") + F.col("size"), (F.col("b") + 1) * F.col("block"))
-                - F.greatest(F.col("start"), F.col("b") * F.col("block"))
-            ).alias("words"),
+            F.array_join(F.col("parts.text"), " ").alias("text"),
+            F.transform("parts", lambda p: F.struct(p["start"].alias("start"), p["doc_id"].alias("doc_id"), p["words"].alias("words"))).alias("parts"),
         )
     )
+
+    # the slots, and the blocks that they take
     slots = (
-        drawn.join(F.broadcast(named.select("k", "n")), "k")
-        .select("k", "n", "first", "slots", F.explode(F.expr("sequence(0L, slots - 1, 4096L)")).alias("s"))
+        drawn.join(F.broadcast(named.select("k", "n", "source")), "k")
+        .withColumn("s", F.explode(F.expr("sequence(0L, slots - 1, 4096L)")))
         .repartition("k", "first", "s")
-        .select("k", "n", F.explode(F.expr("sequence(first + s, first + least(s + 4096L, slots) - 1)")).alias("q"))
+        .withColumn("q", F.explode(F.expr("sequence(first + s, first + least(s + 4096L, slots) - 1)")))
     )
     epoch = F.floor(F.col("q") / F.col("n"))
-    taken = (
-        slots.select("k", permuted(F.pmod("q", "n"), F.col("n"), F.col("k"), epoch, seed).alias("b"))
-        .groupBy("k", "b")
-        .agg(F.count(F.lit(1)).alias("times"))
+    place = F.col("base") + F.col("q") - F.col("first")
+    slots = slots.select(
+        "shard",
+        permuted(place, F.col("total"), F.lit(-1), F.col("shard"), seed + 2).alias("slot"),
+        "source",
+        "k",
+        permuted(F.pmod("q", "n"), F.col("n"), F.col("k"), epoch, seed).alias("b"),
     )
-    per_doc = parts.join(taken, ["k", "b"]).groupBy("k", "start").agg(F.sum(F.col("words") * F.col("times")).alias("taken"))
-    out = placed.join(per_doc, ["k", "start"], "left").select(
+    out = slots.join(packed, ["k", "b"]).select("shard", "slot", "source", F.col("b").alias("block"), "text", "parts", "k")
+    out = space.save(out)
+    space.drop(sized, offsets)
+    return places, out
+
+
+def mixed_blocks(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BLOCK) -> DataFrame:
+    """The mix: (shard, slot, source, block, text, parts) for each slot.
+
+    ``text`` has the block's words with a space between; ``parts`` names the
+    documents that they come from, with their place in the source's stream and
+    their number of words. Slots of a shard count from 0 without gaps.
+    """
+    return _mixed(Workspace(spark), docs, seed, block)[1].drop("k")
+
+
+def mix(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BLOCK) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source) for each row, where
+    ``taken`` counts the document's words in the output of the mix."""
+    places, out = _mixed(Workspace(spark), docs, seed, block)
+    per_doc = out.select("k", F.explode("parts").alias("p")).groupBy("k", "p.start").agg(F.sum("p.words").alias("taken"))
+    return places.join(per_doc, ["k", "start"], "left").select(
         "doc_id",
         "size",
         "source_size",
@@ -186,5 +230,3 @@ def mix(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BL
         F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
         "source",
     )
-    space.drop(sized, offsets)
-    return out

@@ -1,8 +1,11 @@
 """Whole jobs of the training-data operators on small tables."""
 
+import random
+from collections import Counter
+
 import brute
 
-from tallgrass.llm import stages
+from tallgrass.llm import mixing, stages
 
 
 def test_near_dedup_stage_takes_similarity_of_80(spark):
@@ -17,3 +20,31 @@ def test_near_dedup_stage_takes_similarity_of_80(spark):
     got = {r.doc_id for r in stages.drop_near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     expected = brute.components(docs, num=80)
     assert got == {i for i, (_, c) in expected.items() if c == i} == {1, 3, 4, 5}
+
+
+def test_op3_gives_the_words_of_each_slot(spark):
+    rng = random.Random(5)
+    data = [(i, " ".join(f"w{i}.{j}" for j in range(rng.randrange(0, 120))), rng.choice(["a", "b", None])) for i in range(120)]
+    df = spark.createDataFrame(data + [(7, "twin one", "a"), (7, "twin two", "a")], "doc_id long, text string, source string")
+    out = mixing.mixed_blocks(spark, df, block=16).collect()
+    stream, whole = {}, Counter()
+    for r in out:
+        assert sum(p.words for p in r.parts) == len(r.text.split(" "))
+        assert stream.setdefault((r.source, r.block), r.text) == r.text
+    for shard in {r.shard for r in out}:
+        taken = sorted(r.slot for r in out if r.shard == shard)
+        assert taken == list(range(len(taken)))
+    for r in out:
+        whole.update(r.text.split(" "))
+    # the heaviest source is taken whole: its blocks in order are its documents
+    n = sorted(b for s, b in stream if s is None)
+    assert n == list(range(len(n)))
+    joined = " ".join(stream[None, b] for b in n)
+    assert all(f" {t} " in f" {joined} " for _, t, s in data if s is None and t)
+    assert sorted(joined.split(" ")) == sorted(w for _, t, s in data if s is None for w in t.split())
+    got = Counter()
+    for r in mixing.mix(spark, df, block=16).collect():
+        got[r.doc_id] += r.taken
+    for i, t, _ in data:
+        if i != 7:
+            assert got[i] == sum(whole[w] for w in t.split())
