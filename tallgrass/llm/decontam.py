@@ -14,7 +14,9 @@ joined by shuffle otherwise. Words are lower-cased runs between white space.
 Defined results. Null or word-less items and documents match nothing. An item
 of one to four words has its whole sequence as its only shingle, and is
 searched among the word sequences of that length. Rows that repeat a doc_id
-are one document; rows without one are told apart by their texts. Other input
+are one document; rows without one are told apart by their texts. An item is
+an item_id, null or not, with a text: different texts under one item_id are
+searched apart, and each found one has its row. Other input
 columns are ignored; empty tables give no rows.
 """
 
@@ -54,12 +56,12 @@ def contained_items(
     """(doc_id, item_id, n_shared, n_item, containment, key) of found pairs."""
     space = Workspace(spark)
     num, den = share
-    listed = _worded(items, [F.col("item_id")]).where(F.size("w") > 0)
+    listed = _worded(items, [F.col("item_id"), F.xxhash64(F.col("text").cast("string")).alias("item")]).where(F.size("w") > 0)
     listed = listed.withColumn("k", F.least(F.size("w"), F.lit(size)))
     parts = []
     for k in range(1, size + 1):
         some = listed.where(F.col("k") == k)
-        parts.append(shingle_rows(some, ["item_id", "k"], k, "shingle", False))
+        parts.append(shingle_rows(some, ["item_id", "item", "k"], k, "shingle", False))
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
@@ -67,15 +69,16 @@ def contained_items(
     h = F.xxhash64("k", "shingle")
     ranked = every.select(
         "item_id",
+        "item",
         "k",
         "shingle",
-        F.row_number().over(Window.partitionBy("item_id").orderBy(h, "shingle")).alias("rank"),
-        F.count(F.lit(1)).over(Window.partitionBy("item_id")).alias("n_item"),
+        F.row_number().over(Window.partitionBy("item_id", "item").orderBy(h, "shingle")).alias("rank"),
+        F.count(F.lit(1)).over(Window.partitionBy("item_id", "item")).alias("n_item"),
     )
     # sizes 2**p .. 2**(p+1)-1 form a part; its sketches hold what its largest needs
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1).cast("long") - 1
     needed = largest - F.ceil(largest * num / den) + 1
-    ranked = space.save(ranked.select("item_id", "k", "shingle", "n_item", (F.col("rank") <= needed).alias("sketched")))
+    ranked = space.save(ranked.select("item_id", "item", "k", "shingle", "n_item", (F.col("rank") <= needed).alias("sketched")))
 
     keyed = _worded(docs, [doc_key().alias("key")])
     found = None
@@ -93,7 +96,7 @@ def contained_items(
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long, containment double, key long")
     chosen = space.save(found.distinct())
-    full = bounded_broadcast(ranked.select("item_id", "k", "shingle", "n_item"), BROADCAST_BYTES)
+    full = bounded_broadcast(ranked.select("item_id", "item", "k", "shingle", "n_item"), BROADCAST_BYTES)
     again = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", doc_key().alias("key"))
     again = again.join(chosen.select("key").distinct(), "key", "left_semi")
     again = _worded(again, [F.col("key"), F.col("doc_id")])
@@ -104,9 +107,9 @@ def contained_items(
     if met is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long, containment double, key long")
     pairs = (
-        met.select("key", "doc_id", "item_id", "n_item", "shingle")
+        met.select("key", "doc_id", "item_id", "item", "n_item", "shingle")
         .distinct()
-        .groupBy("key", "doc_id", "item_id", "n_item")
+        .groupBy("key", "doc_id", "item_id", "item", "n_item")
         .agg(F.count(F.lit(1)).alias("n_shared"))
         .where(F.lit(den) * F.col("n_shared") >= F.lit(num) * F.col("n_item"))
     )

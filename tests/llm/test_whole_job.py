@@ -5,7 +5,7 @@ from collections import Counter
 
 import brute
 
-from tallgrass.llm import mixing, stages
+from tallgrass.llm import decontam, mixing, stages
 
 
 def test_near_dedup_stage_takes_similarity_of_80(spark):
@@ -48,3 +48,12 @@ def test_op3_gives_the_words_of_each_slot(spark):
     for i, t, _ in data:
         if i != 7:
             assert got[i] == sum(whole[w] for w in t.split())
+
+
+def test_op10_tells_items_apart_by_text_too(spark):
+    texts = [" ".join(f"{c}{i}" for i in range(20)) for c in "abcd"]
+    items = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3])], "item_id long, text string")
+    docs = spark.createDataFrame([(i, f"x {t} y") for i, t in enumerate(texts)] + [(9, "clean " * 30)], "doc_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contained_items(spark, docs, items).collect()}
+    assert got == {(0, 1, 16, 16), (1, 1, 16, 16), (2, None, 16, 16), (3, None, 16, 16)}
+    assert [r.doc_id for r in decontam.drop_contaminated(spark, docs, items).collect()] == [9]
