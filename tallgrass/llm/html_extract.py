@@ -30,16 +30,21 @@ from pyspark.sql import functions as F
 TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>", re.DOTALL
 )
-HIDING = re.compile(
-    r"""(?:^|[\s"'/])(?:hidden(?=[\s=/]|$)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true"""
-    r"""|style\s*=\s*(?:"[^"]*(?:display\s*:\s*none|visibility\s*:\s*hidden)|'[^']*(?:display\s*:\s*none|visibility\s*:\s*hidden)))""",
-    re.IGNORECASE,
-)
+MAY_HIDE = re.compile("hidden|style", re.IGNORECASE)
+ATTRIBUTE = re.compile(r"""([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']\S*)))?""")
+#: An end of attributes whose slash belongs to an unquoted value.
+VALUE_SLASH = re.compile(r"""=\s*[^\s"'>]+/\Z""")
 BLANK = re.compile(r"[ \t\n\f\r]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template noembed noframes iframe head datalist object audio video canvas svg math noscript".split())
+UNSEEN = frozenset("script style template noembed noframes iframe head datalist object audio video canvas noscript".split())
+#: What SVG and MathML don't draw; SVG draws character data in these only.
+UNDRAWN = {
+    "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern".split()),
+    "math": frozenset(["annotation", "annotation-xml"]),
+}
+SVG_TEXT = ("text", "foreignobject")
 IN_HEAD = frozenset("title meta style script link base template noscript basefont bgsound".split())
 #: Block elements: with a blank line around them, and with a line break only.
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
@@ -65,6 +70,24 @@ PARAGRAPH = (frozenset(["p"]), frozenset(["td", "th", "table", "button", "captio
 CELL_GAP = "  "
 
 
+def hidden_by(attributes: str) -> bool:
+    """Whether ``hidden``, ``aria-hidden`` or the style hides an element."""
+    if not MAY_HIDE.search(attributes):
+        return False
+    found: dict[str, str] = {}
+    for m in ATTRIBUTE.finditer(attributes):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or "").strip().lower())
+    if found.get("hidden", "until-found") != "until-found" or found.get("aria-hidden") == "true":
+        return True
+    style: dict[str, tuple[bool, str]] = {}
+    for part in re.sub(r"/\*.*?\*/", "", found.get("style", ""), flags=re.DOTALL).split(";"):
+        name, _, value = (x.strip() for x in part.partition(":"))
+        strong = value.endswith("!important")
+        if strong or not style.get(name, (False, ""))[0]:
+            style[name] = (strong, value.removesuffix("!important").strip())
+    return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
+
+
 class Flow:
     """Lines of text with collapsed white space and block margins."""
 
@@ -170,7 +193,8 @@ class Page:
             self._imply(*IMPLIED[tag])
         if tag in ENDS_PARAGRAPH and self.open.get("p"):
             self._imply(*PARAGRAPH)
-        hides = tag in UNSEEN or (bool(attributes) and HIDING.search(attributes) is not None)
+        hides = tag in UNSEEN or (bool(attributes) and hidden_by(attributes))
+        hides = hides or any(self.open.get(x) and tag in names for x, names in UNDRAWN.items())
         if self.open.get("head") and tag not in IN_HEAD:
             self.end("head")
         if tag in VOID:
@@ -180,14 +204,22 @@ class Page:
                 elif tag == "hr":
                     self.flow.block(2)
             return
+        if (tag in UNDRAWN or self.foreign()) and attributes.endswith("/") and not VALUE_SLASH.search(attributes):
+            return
         self.stack.append((tag, hides))
         self.open[tag] = self.open.get(tag, 0) + 1
         self.hidden += hides
         if not self.hidden:
             self._layout(tag)
 
+    def foreign(self) -> bool:
+        """Inside SVG or MathML, where a slash closes an element."""
+        return bool(self.open.get("math") or (self.open.get("svg") and not self.open.get("foreignobject")))
+
     def _layout(self, tag: str) -> None:
         flow = self.flow
+        if tag == "text" and self.open.get("svg"):
+            flow.put(" ")
         if tag == "table":
             flow.block(2)
             self.tables.append(Table(flow))
@@ -275,6 +307,8 @@ class Page:
             self.flow.block(1)
 
     def text(self, raw: str) -> None:
+        if self.open.get("svg") and not any(self.open.get(x) for x in SVG_TEXT):
+            return
         if not self.hidden and raw:
             # text between cells, which a browser moves out, goes before the table
             flow = self.flow
@@ -295,7 +329,7 @@ def render(html: str) -> dict:
             page.end(tag)
             continue
         page.start(tag, found[3])
-        if tag in RAW and not found[3].endswith("/"):
+        if tag in RAW and not found[3].endswith("/") and not (tag == "title" and page.foreign()):
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(html, at)
             body = html[at : close.start() if close else len(html)]
             at = close.start() if close else len(html)

@@ -6,6 +6,7 @@ from collections import Counter
 import brute
 
 from tallgrass.llm import decontam, mixing, stages
+from tallgrass.llm.html_extract import render
 
 
 def test_near_dedup_stage_takes_similarity_of_80(spark):
@@ -57,3 +58,17 @@ def test_op10_tells_items_apart_by_text_too(spark):
     got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontam.contained_items(spark, docs, items).collect()}
     assert got == {(0, 1, 16, 16), (1, 1, 16, 16), (2, None, 16, 16), (3, None, 16, 16)}
     assert [r.doc_id for r in decontam.drop_contaminated(spark, docs, items).collect()] == [9]
+
+
+def test_op4_keeps_what_is_drawn():
+    def text(html):
+        return render(html)["text"]
+
+    assert text('<a title="Show hidden files" href=x>Text</a>') == "Text"
+    assert text('<div class="menu hidden md:block">a</div>b') == "a\nb"
+    assert text('<p data-x="style=\'display:none\'">a</p>') == "a"
+    assert text('<b hidden="">a</b><b style="color:red; DISPLAY : none !important">b</b><b style=display:none>c</b>d') == "d"
+    assert text('<b style="display:none;display:block">a</b><b hidden=until-found>b</b>') == "ab"
+    assert text("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> b") == "a x+1 b"
+    assert text("a<svg/>b<svg><title>t</title><path d='M0'/><text>drawn</text><text>too</text></svg>c") == "ab drawn tooc"
+    assert render("<svg><title>icon</title></svg><title>page</title>")["title"] == "page"
