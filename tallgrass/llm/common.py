@@ -61,14 +61,14 @@ class Workspace:
         self.root = f"{shared_dir(spark)}/tallgrass-{uuid.uuid4().hex}"
         self._count = 0
 
-    def save(self, df: DataFrame) -> DataFrame:
+    def save(self, df: DataFrame, compression: str = "snappy") -> DataFrame:
         if not self._count:
             if not Workspace._roots:
                 atexit.register(Workspace._sweep)
             Workspace._roots.append((self.spark, self.root))
         self._count += 1
         path = f"{self.root}/{self._count}"
-        df.write.parquet(path)
+        df.write.option("compression", compression).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._tallgrass_path = path
         return out

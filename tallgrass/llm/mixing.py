@@ -1,14 +1,21 @@
 """Mixing sources to target weights by blocks, shards and index permutations.
 
-The words of each source form one stream, cut in blocks of a fixed length.
-An output shard draws how many slots each source fills from a multinomial
-over what is still wanted of each source, so that the totals of all shards
-are exact. The slots of a source are numbered on across shards; slot q takes
-the block at place ``q mod n`` of permutation ``q div n`` of the source's n
-blocks. Slots and blocks meet in a join by (source, block); the output is a
-row per slot of a shard with the words of its block, and what is taken of each
-document is counted on that output. Slots of a shard are permuted too, so that
-sources alternate.
+The words of each source form one stream. Rows are dealt into chunks by a hash
+and follow each other by doc_id inside a chunk; the words of a chunk are cut in
+blocks of a fixed length, of which only a chunk's last may be shorter. Blocks
+of a source are numbered on over its chunks.
+
+The output has a fixed number of shards. Each shard draws how many of its slots
+each source fills from a multinomial; its chances are what the sources lack of
+their share of all slots up to this shard, so that a draw's luck is made good
+by later shards and the totals stay near the targets. What a source gives is
+what was drawn: the slots of a source are numbered on across shards, and slot q
+takes the block at place ``q mod n`` of permutation ``q div n`` of the source's
+n blocks. Slots and blocks meet by (source, block), inside the chunk that holds
+the block, so that texts are shuffled once; the output is a row per slot of a
+shard with the words of its block, and what is taken of each document is
+counted on that output. Slots of a shard are permuted too, so that sources
+alternate.
 
 A permutation is a swap-or-not shuffle: a bijection of any length, computed
 for one index from a seed, so that no list of indices is ever shuffled.
@@ -21,29 +28,38 @@ Defined results. A null text has size 0 and takes nothing; a null source is a
 source of its own; rows that repeat a doc_id are separate documents. A source
 without words has target 0. Other input columns are ignored; an empty table
 gives no rows. No document is taken more than three times. The driver holds
-one row per source, at most ``MAX_SOURCES``, and one number per source and
-shard, at most about ``MAX_DRAWS``: beyond that shards grow and not their
-number.
+one row per source, at most ``MAX_SOURCES`` (beyond it the operator stops with
+an error), and one number per source and shard.
 """
 
 from __future__ import annotations
 
+import re
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallgrass.llm.columns import let, words
-from tallgrass.llm.common import Workspace
+from tallgrass.llm import bytekit as bk
+from tallgrass.llm.columns import words
+from tallgrass.llm.common import Workspace, bounded_broadcast
 
 WEIGHTS = (1, 2, 3)
 CAP = 3
-#: Words of a block; a small source has shorter blocks, about 512 of them.
-BLOCK, LEAST_BLOCKS = 128, 512
-SLOTS, MAX_DRAWS, MAX_SOURCES = 4096, 1_000_000, 100_000
-CHUNK_ROWS, MAX_CHUNKS = 2000, 1 << 16
+#: Words of a block, and shards of the output.
+BLOCK, SHARDS, MAX_SOURCES = 16, 512, 20_000
+#: About so many rows and words are in a chunk, at most.
+CHUNK_ROWS, CHUNK_WORDS = 2000, 1_000_000
+#: Slots of a row before they are spread, and of a task that spreads them.
+SPREAD, SLOTS_A_TASK, MAX_TASKS = 4096, 200_000, 20_000
+#: Blocks of one key by which slots find their chunk.
+RANGE = 1 << 15
+BROADCAST_BYTES = 16 << 20
 ROUNDS = 12
+WORDS = re.compile(rb"[^\x20\x09-\x0d]+")
 
 
 def fill_targets(sizes: list[int], weights: list[int], cap: int = CAP) -> list[Fraction]:
@@ -64,28 +80,29 @@ def fill_targets(sizes: list[int], weights: list[int], cap: int = CAP) -> list[F
     return targets
 
 
-def wanted_slots(size: int, target: Fraction, block: int) -> int:
-    """Slots whose blocks hold about ``target`` words of a source."""
-    if not size:
-        return 0
-    n = -(-size // block)
-    whole = int(target // size)
-    return whole * n + min(n, round((target - whole * size) / block))
+def draw_shards(wanted: np.ndarray, most: np.ndarray, shards: int, seed: int) -> np.ndarray:
+    """(shards, sources) slot counts, drawn shard by shard.
 
-
-def draw_shards(totals: list[int], slots: int, seed: int) -> np.ndarray:
-    """(shards, sources) slot counts whose columns add up to ``totals``."""
-    left = np.array(totals, dtype=np.int64)
-    shards = min(max(1, MAX_DRAWS // len(totals)), max(1, -(-int(left.sum()) // slots)))
-    out = np.zeros((shards, len(totals)), dtype=np.int64)
+    ``wanted`` are the slots that the sources should fill, not whole numbers,
+    and ``most`` those that they can fill.
+    """
+    total = min(int(round(float(wanted.sum()))), int(most.sum()))
+    if wanted.sum() > 0:
+        total = max(total, 1)
+    out = np.zeros((shards, len(wanted)), dtype=np.int64)
+    drawn = np.zeros(len(wanted), dtype=np.int64)
     for m in range(shards):
         rng = np.random.default_rng([seed, m])
-        need = -(-int(left.sum()) // (shards - m))
+        due = total * (m + 1) // shards
+        need = due - total * m // shards
         while need > 0:
-            drawn = np.minimum(rng.multinomial(need, left / left.sum()), left)
-            out[m] += drawn
-            left -= drawn
-            need -= int(drawn.sum())
+            lacking = np.where(drawn < most, np.maximum(wanted * (due / total) - drawn, 0.0), 0.0)
+            if not lacking.sum() > 0:
+                lacking = np.where(drawn < most, wanted, 0.0)
+            found = np.minimum(rng.multinomial(need, lacking / lacking.sum()), most - drawn)
+            out[m] += found
+            drawn += found
+            need -= int(found.sum())
     return out
 
 
@@ -101,32 +118,103 @@ def permuted(place: Column, n: Column, source: Column, epoch: Column, seed: int)
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), place, swap)
 
 
-def _sources(spark: SparkSession, sized: DataFrame, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """(one row per source, one row per shard and source)."""
+NAMED = "k long, source string, source_size long, target double"
+
+
+def _sources(spark: SparkSession, sized: DataFrame) -> tuple[DataFrame, list[int], list[Fraction]]:
+    """(one row per source, sizes, targets), sources in order."""
     rows = sized.groupBy("source").agg(F.sum("size").alias("size")).limit(MAX_SOURCES + 1).collect()
     if len(rows) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
     sizes = [r["size"] for r in rows]
     targets = fill_targets(sizes, [WEIGHTS[i % len(WEIGHTS)] for i in range(len(rows))])
-    blocks = [max(1, min(block, s // LEAST_BLOCKS)) for s in sizes]
-    totals = [wanted_slots(*x) for x in zip(sizes, targets, blocks)]
-    named = spark.createDataFrame(
-        [(i, r["source"], s, float(t), b, -(-s // b)) for i, (r, s, t, b) in enumerate(zip(rows, sizes, targets, blocks))],
-        "k long, source string, source_size long, target double, block long, n long",
-    )
-    counts = draw_shards(totals, SLOTS, seed) if sum(totals) else np.zeros((0, len(rows)), dtype=np.int64)
+    named = spark.createDataFrame([(i, r["source"], s, float(t)) for i, (r, s, t) in enumerate(zip(rows, sizes, targets))], NAMED)
+    if sum(len((r["source"] or "").encode()) + 32 for r in rows) <= BROADCAST_BYTES:
+        named = F.broadcast(named)
+    return named, sizes, targets
+
+
+def _slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: int) -> DataFrame:
+    """(shard, slot, k, b) of each slot: its source and the block it takes."""
     first = np.cumsum(counts, axis=0) - counts
     base = np.cumsum(counts, axis=1) - counts
-    drawn = spark.createDataFrame(
-        [(m, i, int(first[m, i]), int(counts[m, i]), int(base[m, i]), int(counts[m].sum())) for m in range(len(counts)) for i in np.flatnonzero(counts[m]).tolist()],
-        "shard long, k long, first long, slots long, base long, total long",
+    m, k = np.nonzero(counts)
+    columns = {"shard": m, "k": k, "first": first[m, k], "slots": counts[m, k], "base": base[m, k], "total": counts.sum(axis=1)[m], "n": blocks[k]}
+    drawn = spark.createDataFrame(pa.table({c: pa.array(v.astype(np.int64)) for c, v in columns.items()}))
+    tasks = int(min(MAX_TASKS, max(spark.sparkContext.defaultParallelism, counts.sum() // SLOTS_A_TASK)))
+    spread = (
+        drawn.withColumn("s", F.explode(F.expr(f"sequence(0L, slots - 1, {SPREAD}L)")))
+        .repartition(tasks, "k", "first", "s")
+        .withColumn("q", F.explode(F.expr(f"sequence(first + s, first + least(s + {SPREAD}L, slots) - 1)")))
     )
-    return named, drawn
+    epoch = F.floor(F.col("q") / F.col("n"))
+    place = F.col("base") + F.col("q") - F.col("first")
+    return spread.select(
+        "shard",
+        permuted(place, F.col("total"), F.lit(-1), F.col("shard"), seed + 2).alias("slot"),
+        "k",
+        permuted(F.pmod("q", "n"), F.col("n"), F.col("k"), epoch, seed).alias("b"),
+    )
+
+
+OUT = "shard long, slot long, k long, block long, text string, parts array<struct<start:long,doc_id:long,words:long>>"
+
+
+def _pack(block: int):
+    """Packs a chunk's documents in blocks and gives each slot its block.
+
+    Left: doc_id, size, mark and text of documents with words. Right: k, shard,
+    slot and b of slots, with the chunk's first block and first word.
+    """
+
+    def run(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        schema = pa.schema(
+            [("shard", pa.int64()), ("slot", pa.int64()), ("k", pa.int64()), ("block", pa.int64()), ("text", pa.string()),
+             ("parts", pa.list_(pa.struct([("start", pa.int64()), ("doc_id", pa.int64()), ("words", pa.int64())])))]
+        )
+        if not right.num_rows or not left.num_rows:
+            return schema.empty_table()
+        order = pc.sort_indices(left, sort_keys=[(c, "ascending") for c in ("doc_id", "size", "mark")], null_placement="at_start")
+        left = left.take(order)
+        right = right.combine_chunks()
+        size = left["size"].to_numpy()
+        offsets, data = bk.utf8(left["text"])
+        raw = data.tobytes()
+        held: list[bytes] = []
+        for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+            held += WORDS.findall(raw, a, z)
+        total = len(held)
+        # a block's words with a space between: pieces of all words so joined
+        joined = b" ".join(held)
+        ends = np.cumsum(np.fromiter(map(len, held), dtype=np.int64, count=total) + 1)
+        cut = np.arange(0, total, block)
+        low = np.where(cut > 0, ends[cut - 1], 0).tolist()
+        high = (ends[np.minimum(cut + block, total) - 1] - 1).tolist()
+        texts = pa.array([joined[a:z] for a, z in zip(low, high)], type=pa.binary()).cast(pa.string())
+        # pieces between the bounds of blocks and documents
+        begin = np.cumsum(size) - size
+        edge = np.unique(np.concatenate([cut, begin]))
+        doc = np.searchsorted(begin, edge, side="right") - 1
+        length = np.diff(np.append(edge, total))
+        origin = right["origin"][0].as_py()
+        parts = pa.StructArray.from_arrays(
+            [pa.array(begin[doc] + origin), left["doc_id"].combine_chunks().take(pa.array(doc)), pa.array(length)],
+            names=["start", "doc_id", "words"],
+        )
+        starts = np.append(np.searchsorted(edge, cut), len(edge)).astype(np.int32)
+        listed = pa.ListArray.from_arrays(pa.array(starts), parts)
+        at = pa.array(right["b"].to_numpy() - right["base"].to_numpy())
+        return pa.Table.from_arrays(
+            [right["shard"], right["slot"], right["k"], right["b"], texts.take(at), listed.take(at)], schema=schema
+        )
+
+    return run
 
 
-def _mixed(space: Workspace, docs: DataFrame, seed: int, block: int) -> tuple[DataFrame, DataFrame]:
+def _mixed(space: Workspace, docs: DataFrame, seed: int, block: int, shards: int) -> tuple[DataFrame, DataFrame]:
     """(one row per document with its place, one row per slot of a shard)."""
+    spark = space.spark
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
@@ -136,97 +224,92 @@ def _mixed(space: Workspace, docs: DataFrame, seed: int, block: int) -> tuple[Da
         text.alias("text"),
     )
     sized = space.save(rows.drop("text"))
-    named, drawn = _sources(space.spark, sized, seed, block)
-    chunks = min(MAX_CHUNKS, max(1, sized.count() // CHUNK_ROWS))
-
-    # places of the documents in their sources' streams, by two running sums;
-    # rows equal in doc_id, size and text may swap places
-    inside = Window.partitionBy("k", "chunk").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
-    before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    named, sizes, targets = _sources(spark, sized)
+    chunks = max(1, sized.count() // CHUNK_ROWS, sum(sizes) // CHUNK_WORDS)
 
     def chunked(df: DataFrame) -> DataFrame:
-        known = named.select("k", F.col("source").alias("_source"), "source_size", "target", "block")
-        met = df.join(F.broadcast(known), df["source"].eqNullSafe(F.col("_source"))).drop("_source")
+        known = named.select("k", F.col("source").alias("_source"), "source_size", "target")
+        met = df.join(known, df["source"].eqNullSafe(F.col("_source"))).drop("_source")
         return met.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(chunks)))
 
+    # the chunks' first words and blocks, by running sums over chunks
+    before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
+    count = F.ceil(F.col("words") / block)
     offsets = space.save(
         chunked(sized)
+        .where("size > 0")
         .groupBy("k", "chunk")
         .agg(F.sum("size").alias("words"))
-        .select("k", "chunk", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("offset"))
-    )
-
-    def placed(df: DataFrame) -> DataFrame:
-        within = chunked(df).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        return within.join(offsets, ["k", "chunk"]).withColumn("start", F.col("offset") + F.col("within"))
-
-    places = space.save(placed(sized).select("doc_id", "source", "size", "k", "source_size", "target", "start"))
-
-    # the words of each block, from the documents' pieces in stream order
-    start, size, length = F.col("start"), F.col("size"), F.col("block")
-
-    def piece(w: Column, b: Column) -> Column:
-        low, high = F.greatest(start, b * length), F.least(start + size, (b + 1) * length)
-        cut = F.slice(w, (low - start + 1).cast("int"), (high - low).cast("int"))
-        return F.struct(b.alias("b"), (high - low).alias("words"), F.array_join(cut, " ").alias("text"))
-
-    numbers = F.sequence(F.floor(start / length), F.floor((start + size - 1) / length))
-    cuts = let(words(F.col("text")), lambda w: F.transform(numbers, lambda b: piece(w, b)))
-    pieces = placed(rows).where("size > 0").select("k", "start", "doc_id", F.explode(cuts).alias("p"))
-    packed = (
-        pieces.select("k", F.col("p.b").alias("b"), F.struct("start", "doc_id", "p.words", "p.text").alias("p"))
-        .groupBy("k", "b")
-        .agg(F.array_sort(F.collect_list("p")).alias("parts"))
         .select(
             "k",
-            "b",
-            F.array_join(F.col("parts.text"), " ").alias("text"),
-            F.transform("parts", lambda p: F.struct(p["start"].alias("start"), p["doc_id"].alias("doc_id"), p["words"].alias("words"))).alias("parts"),
+            "chunk",
+            F.coalesce(F.sum("words").over(before), F.lit(0)).alias("origin"),
+            F.coalesce(F.sum(count).over(before), F.lit(0)).alias("base"),
+            count.alias("blocks"),
         )
     )
-
-    # the slots, and the blocks that they take
-    slots = (
-        drawn.join(F.broadcast(named.select("k", "n", "source")), "k")
-        .withColumn("s", F.explode(F.expr("sequence(0L, slots - 1, 4096L)")))
-        .repartition("k", "first", "s")
-        .withColumn("q", F.explode(F.expr("sequence(first + s, first + least(s + 4096L, slots) - 1)")))
-    )
-    epoch = F.floor(F.col("q") / F.col("n"))
-    place = F.col("base") + F.col("q") - F.col("first")
-    slots = slots.select(
-        "shard",
-        permuted(place, F.col("total"), F.lit(-1), F.col("shard"), seed + 2).alias("slot"),
-        "source",
-        "k",
-        permuted(F.pmod("q", "n"), F.col("n"), F.col("k"), epoch, seed).alias("b"),
+    # rows equal in doc_id, size and text may swap places
+    inside = Window.partitionBy("k", "chunk").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    within = chunked(sized).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    places = space.save(
+        within.join(offsets.select("k", "chunk", "origin"), ["k", "chunk"], "left").select(
+            "doc_id", "source", "size", "k", "source_size", "target",
+            F.when(F.col("size") > 0, F.col("origin") + F.col("within")).alias("start"),
+        )
+    )
+
+    blocks = np.zeros(len(sizes), dtype=np.int64)
+    for r in offsets.groupBy("k").agg(F.sum("blocks").alias("n")).collect():  # a row per source
+        blocks[r["k"]] = r["n"]
+    wanted = np.array([float(t * int(n) / s) if s else 0.0 for s, t, n in zip(sizes, targets, blocks)])
+    counts = draw_shards(wanted, CAP * blocks, shards, seed) if blocks.sum() else np.zeros((0, len(sizes)), dtype=np.int64)
+    # a slot's block lies in the chunk whose range holds it
+    spans = F.sequence(F.floor(F.col("base") / RANGE), F.floor((F.col("base") + F.col("blocks") - 1) / RANGE))
+    ranges = space.save(offsets.select("*", F.explode(spans).alias("r")))
+    asked = (
+        _slots(spark, counts, blocks, seed)
+        .withColumn("r", F.floor(F.col("b") / RANGE))
+        .join(bounded_broadcast(ranges, BROADCAST_BYTES), ["k", "r"])
+        .where("b >= base and b < base + blocks")
+        .select("k", "chunk", "shard", "slot", "b", "base", "origin")
     )
-    out = slots.join(packed, ["k", "b"]).select("shard", "slot", "source", F.col("b").alias("block"), "text", "parts", "k")
-    out = space.save(out)
-    space.drop(sized, offsets)
-    return places, out
+    texts = chunked(rows).where("size > 0").select("k", "chunk", "doc_id", "size", "mark", "text")
+    packed = texts.groupBy("k", "chunk").cogroup(asked.groupBy("k", "chunk")).applyInArrow(_pack(block), OUT)
+    out = space.save(packed, compression="zstd")
+    space.drop(sized, offsets, ranges)
+    return places, out.join(named.select("k", "source"), "k")
 
 
-def mixed_blocks(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BLOCK) -> DataFrame:
+def mixed_blocks(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
     """The mix: (shard, slot, source, block, text, parts) for each slot.
 
     ``text`` has the block's words with a space between; ``parts`` names the
     documents that they come from, with their place in the source's stream and
     their number of words. Slots of a shard count from 0 without gaps.
     """
-    return _mixed(Workspace(spark), docs, seed, block)[1].drop("k")
-
-
-def mix(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BLOCK) -> DataFrame:
-    """(doc_id, size, source_size, target, taken, source) for each row, where
-    ``taken`` counts the document's words in the output of the mix."""
-    places, out = _mixed(Workspace(spark), docs, seed, block)
-    per_doc = out.select("k", F.explode("parts").alias("p")).groupBy("k", "p.start").agg(F.sum("p.words").alias("taken"))
+    out = _mixed(Workspace(spark), docs, seed, block, shards)[1]
+    return out.select("shard", "slot", "source", "block", "text", "parts")
+
+
+def mix(spark: SparkSession, docs: DataFrame, *, seed: int = 20, block: int = BLOCK, shards: int = SHARDS) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, source, n_slots, first_shard,
+    first_slot) for each row, where ``taken`` counts the document's words in
+    the output of the mix, ``n_slots`` the slots that hold some of them, and
+    the last two name the first of these, null if there is none."""
+    places, out = _mixed(Workspace(spark), docs, seed, block, shards)
+    per_doc = (
+        out.select("k", "shard", "slot", F.explode("parts").alias("p"))
+        .groupBy("k", F.col("p.start").alias("start"))
+        .agg(F.sum("p.words").alias("taken"), F.count(F.lit(1)).alias("n_slots"), F.min(F.struct("shard", "slot")).alias("first"))
+    )
     return places.join(per_doc, ["k", "start"], "left").select(
         "doc_id",
         "size",
         "source_size",
         "target",
-        F.when(F.col("size") > 0, F.coalesce("taken", F.lit(0))).otherwise(0).cast("long").alias("taken"),
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"),
         "source",
+        F.coalesce("n_slots", F.lit(0)).alias("n_slots"),
+        F.col("first.shard").alias("first_shard"),
+        F.col("first.slot").alias("first_slot"),
     )

@@ -40,15 +40,17 @@ def mixed_documents(spark: SparkSession, docs: DataFrame) -> DataFrame:
     """The documents that the mix takes words from, with how many it takes.
 
     Adds size, source_size, target and taken, in place of columns of these
-    names; a document of which nothing is taken goes.
+    names; a document of which nothing is taken goes. Rows are told apart by
+    doc_id, or by text where it is null; if one repeats, rows are numbered in
+    the table's order instead and each stays a document of its own.
     """
+    space = Workspace(spark)
     docs = docs.drop("size", "source_size", "target", "taken")
-    found = mix(spark, docs.select(doc_key().alias("doc_id"), "text", "source"))
-    key, source = unused(docs, "_key"), unused(docs, "_source")
-    found = (
-        found.where("taken > 0")
-        .groupBy(F.col("doc_id").alias(key), F.col("source").alias(source), "size", "source_size", "target")
-        .agg(F.max("taken").alias("taken"))
-    )
-    same = (doc_key() == F.col(key)) & docs["source"].cast("string").eqNullSafe(F.col(source))
-    return docs.join(found, same).drop(key, source)
+    key = unused(docs, "_key")
+    if docs.groupBy(doc_key().alias(key)).count().where("count > 1").isEmpty():
+        keyed = docs.withColumn(key, doc_key())
+    else:
+        keyed = space.save(docs.withColumn(key, F.monotonically_increasing_id()))
+    found = mix(spark, keyed.select(F.col(key).alias("doc_id"), "text", "source")).where("taken > 0")
+    found = found.select(F.col("doc_id").alias(key), "size", "source_size", "target", "taken")
+    return keyed.join(found, key).drop(key)

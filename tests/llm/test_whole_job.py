@@ -4,6 +4,7 @@ import random
 from collections import Counter
 
 import brute
+from pyspark.sql import functions as F
 
 from tallgrass.llm import decontam, mixing, stages
 from tallgrass.llm.html_extract import render
@@ -72,3 +73,72 @@ def test_op4_keeps_what_is_drawn():
     assert text("a <math><mi>x</mi><mo>+</mo><mn>1</mn><annotation>tex</annotation></math> b") == "a x+1 b"
     assert text("a<svg/>b<svg><title>t</title><path d='M0'/><text>drawn</text><text>too</text></svg>c") == "ab drawn tooc"
     assert render("<svg><title>icon</title></svg><title>page</title>")["title"] == "page"
+
+
+def test_op3_against_a_plain_mix(spark):
+    """Draws, permutations and packing, done plainly, take the same words."""
+    import numpy as np
+    import xxhash
+
+    def h64(*values):
+        """Spark's xxhash64 of longs, of ints given as (value,), of strings."""
+        acc = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
+            acc = xxhash.xxh64_intdigest(raw, seed=acc)
+        return acc - 2**64 if acc >= 2**63 else acc
+
+    def permuted(x, n, source, epoch, seed):
+        for r in range(1, mixing.ROUNDS + 1):
+            partner = (h64((seed,), source, epoch, (r,)) % n - x) % n
+            if h64((seed + 1,), source, epoch, (r,), max(x, partner)) % 2 == 1:
+                x = partner
+        return x
+
+    rng = random.Random(6)
+    data = [(i, " ".join(["w"] * rng.randrange(0, 90)), rng.choice(["a", "b", "c", "d", None])) for i in range(150)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    seed, block, shards = 3, 16, 20
+    names = ["a", "b", "c", "d", None]
+    streams = [[d for d in data if d[2] == s and d[1]] for s in names]
+    sizes = [sum(len(t.split()) for _, t, _ in x) for x in streams]
+    targets = mixing.fill_targets(sizes, [1, 2, 3, 1, 2])
+    blocks = np.array([-(-s // block) for s in sizes])
+    wanted = np.array([float(t * int(n) / s) for t, s, n in zip(targets, sizes, blocks)])
+    drawn = mixing.draw_shards(wanted, 3 * blocks, shards, seed).sum(axis=0).tolist()
+    taken = Counter()
+    for k, docs in enumerate(streams):
+        # one chunk: a source's words follow by doc_id
+        owner = [i for i, t, _ in sorted(docs) for _ in t.split()]
+        n = int(blocks[k])
+        for q in range(drawn[k]):
+            b = permuted(q % n, n, k, q // n, seed)
+            taken.update(owner[b * block : (b + 1) * block])
+    got = mixing.mix(spark, df, seed=seed, block=block, shards=shards).collect()
+    assert {r.doc_id: r.taken for r in got} == {i: taken[i] for i, _, _ in data}
+    assert all((r.n_slots > 0) == (r.first_shard is not None) == (r.taken > 0) for r in got)
+
+
+def test_op3_the_draw_decides(spark, monkeypatch):
+    import numpy as np
+
+    wanted, most = np.array([40.3, 81.1, 120.6]), np.array([300, 300, 300])
+    one = [mixing.draw_shards(wanted, most, 16, seed).sum(axis=0).tolist() for seed in range(30)]
+    assert all(sum(x) == 242 for x in one) and len(set(map(tuple, one))) > 5
+    assert all(abs(x - w) < 12 for c in one for x, w in zip(c, wanted))
+    data = [(i, f"w{i} " * (20 + i % 40), "abc"[i % 3]) for i in range(90)]
+    df = spark.createDataFrame(data, "doc_id long, text string, source string")
+    drawn = sorted(tuple(r) for r in mixing.mix(spark, df, shards=4).collect())
+    monkeypatch.setattr(mixing, "draw_shards", lambda wanted, most, shards, seed: np.round(wanted).astype(np.int64)[None, :])
+    fixed = sorted(tuple(r) for r in mixing.mix(spark, df, shards=4).collect())
+    assert [(r[0], r[4]) for r in drawn] != [(r[0], r[4]) for r in fixed]
+
+
+def test_mixing_stage_keeps_rows_apart(spark):
+    rows = [(1, "a b c " * 20, "s", 1), (1, "d e f " * 30, "s", 2), (1, "d e f " * 30, "s", 3), (2, "g " * 50, None, 4), (None, "h " * 40, "s", 5), (None, "h " * 40, "s", 6)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, own int").withColumn("taken", F.lit("mine"))
+    got = stages.mixed_documents(spark, df).collect()
+    assert len({r.own for r in got}) == len(got) <= 6
+    whole = {o: (i, t, s) for i, t, s, o in rows}
+    assert all((r.doc_id, r.text, r.source) == whole[r.own] and r["size"] == len(r.text.split()) for r in got)
+    assert all(0 < r.taken <= 3 * r["size"] for r in got)
