@@ -14,9 +14,10 @@ emits all pairs of a large group:
    groups of near copies in time linear in their size;
 2. in buckets of up to ``SMALL`` members, the pairs still in different
    components are compared;
-3. larger buckets are cut in blocks; what lies outside the smallest member's
-   component visits every block, and a task compares it with the rows at home
-   there and returns only links that join two components.
+3. larger buckets are cut in blocks of bounded rows and shingles, once what
+   lies outside the bucket's largest component and once all members; a task
+   compares one block of the former with one of the latter, holds no more than
+   these two, and returns only links that join two components.
 
 Defined results. A null or word-less text has no shingles, is linked with
 nothing and is kept. A text of one to four words is one shingle, its whole
@@ -40,7 +41,9 @@ from tallgrass.llm.common import Workspace
 from tallgrass.llm.components import connected
 
 BANDS, ROWS = 24, 4
-SMALL, BLOCK = 8, 512
+SMALL = 8
+#: A block of a large bucket has about so many rows and shingles, at most.
+BLOCK, BLOCK_SHINGLES = 256, 1 << 21
 PIECE_BYTES = 2 << 20
 
 
@@ -167,31 +170,31 @@ def _confirm(num: int, den: int):
 
 
 def _block_links(num: int, den: int):
-    """Links of a block of a bucket that join two components.
+    """Links between two blocks of a bucket that join two components.
 
-    Columns: key, block, home, main, rep, component, n, bands, shingles. The
-    rows outside the bucket's main component are compared with the rows at
-    home in the block. A pair is compared in the first band in which it meets,
-    and only while its ends are still apart.
+    Columns: key, i, j, outside, main, rep, component, n, bands, shingles. The
+    rows that carry ``outside`` form block i of what lies outside the bucket's
+    main component; the others are block j of all its rows. A pair is compared
+    in the first band in which it meets, and only while its ends are apart.
     """
 
     def run(group: pa.Table) -> pa.Table:
         t = group.combine_chunks()
         key = t["key"][0].as_py()
         rep, component, n = (t[c].to_numpy() for c in ("rep", "component", "n"))
-        home, main = (t[c].to_numpy(zero_copy_only=False) for c in ("home", "main"))
+        outside, main = (t[c].to_numpy(zero_copy_only=False) for c in ("outside", "main"))
         bands = np.array(t["bands"].to_pylist(), dtype=np.int64)
         band = int(np.flatnonzero(bands[0] == key)[0])
         sets = [np.frombuffer(x, dtype=bk.U64) for x in t["shingles"].to_pylist()]
         links, root = [], component.copy()
-        left, right = np.flatnonzero(~main), np.flatnonzero(home)
+        left, right = np.flatnonzero(outside), np.flatnonzero(~outside)
         if len(left) and len(right):
             names, flat = np.unique(np.concatenate([sets[i] for i in right]), return_inverse=True)
             starts = np.concatenate([[0], np.cumsum([len(sets[i]) for i in right])[:-1]]).astype(np.int64)
         else:
             left = left[:0]
         for i in left:
-            # two rows outside the main component meet twice, at either's home
+            # two rows outside the main component meet in either's blocks
             able = (root[right] != root[i]) & (main[right] | (rep[right] > rep[i]))
             able &= den * np.minimum(n[right], n[i]) >= num * np.maximum(n[right], n[i])
             if band:
@@ -285,13 +288,26 @@ def near_duplicates(
             "component", F.coalesce("component", "rep")
         )
     )
+    # a bucket's components, the largest of which is its main one
+    parted = placed.groupBy("key", "component").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("shingles"))
     open_keys = space.save(
-        placed.groupBy("key")
+        parted.groupBy("key")
         .agg(
-            F.min("component").alias("c0"), F.max("component").alias("c1"), F.min_by("component", "rep").alias("main")
+            F.count(F.lit(1)).alias("components"),
+            F.max(F.struct("c", "component", "shingles")).alias("main"),
+            F.sum("c").alias("rows"),
+            F.sum("shingles").alias("shingles"),
+        )
+        .where("components > 1")
+        .select(
+            "key",
+            F.col("main.component").alias("main"),
+            F.greatest(F.ceil(F.col("rows") / BLOCK), F.ceil(F.col("shingles") / BLOCK_SHINGLES)).alias("js"),
+            F.greatest(
+                F.ceil((F.col("rows") - F.col("main.c")) / BLOCK),
+                F.ceil((F.col("shingles") - F.col("main.shingles")) / BLOCK_SHINGLES),
+            ).alias("is"),
         )
-        .where("c0 < c1")
-        .select("key", "main")
     )
     rest = space.save(placed.join(open_keys, "key").withColumn("main", F.col("component") == F.col("main")))
     space.drop(placed, open_keys, buckets)
@@ -309,18 +325,20 @@ def near_duplicates(
     )
     more = _compare(pairs, sets, num, den)
 
-    # 3: blocks of large buckets; what the smallest member's component holds
-    # stays in its own block, the others visit all blocks
-    blocks = F.ceil(F.col("m") / F.lit(BLOCK))
-    own = F.pmod(F.xxhash64("rep"), blocks)
-    many = (
-        rest.where(F.col("m") > SMALL)
-        .withColumn("own", own)
-        .withColumn("block", F.explode(F.when(F.col("main"), F.array("own")).otherwise(F.sequence(F.lit(0).cast("long"), blocks - 1))))
-        .select("key", "block", (F.col("block") == F.col("own")).alias("home"), "main", "rep", "component")
-        .join(sets, "rep")
-    )
-    found = many.groupBy("key", "block").applyInArrow(_block_links(num, den), "a long, b long")
+    # 3: blocks of large buckets, what is outside the main component with all
+    many = rest.where(F.col("m") > SMALL)
+    columns = ["key", "i", "j", "outside", "main", "rep", "component"]
+
+    def block(count: str, salt: int):
+        return F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(count))
+
+    def visits(count: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+
+    outer = many.where(~F.col("main")).withColumn("outside", F.lit(True)).withColumn("i", block("is", 1)).withColumn("j", visits("js"))
+    inner = many.withColumn("outside", F.lit(False)).withColumn("j", block("js", 2)).withColumn("i", visits("is"))
+    dealt = outer.select(*columns).unionByName(inner.select(*columns)).join(sets, "rep")
+    found = dealt.groupBy("key", "i", "j").applyInArrow(_block_links(num, den), "a long, b long")
     every = space.save(links.unionByName(more).unionByName(found))
     final = connected(space, every)
     joined = members.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(
