@@ -56,6 +56,21 @@ class Pieces:
         hit = self.sorted[at] == hashes[maybe]
         return maybe[hit], self.order[at[hit]]
 
+    def inside(self, word: str, low: int, high: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """Pieces of a word that end at a place in low..high-1: for each piece
+        length (length, places of the last characters, piece numbers)."""
+        begin = max(0, low - self.longest + 1)
+        codes = _code(code_points([word[begin:high]])[0])
+        grown = codes.copy()  # hashes of the runs of ``length`` from each place
+        for length in range(1, min(self.longest, high) + 1):
+            if length > 1:
+                grown = grown[:-1] * _STEP + codes[length - 1 :]
+            if not len(grown):
+                break
+            places, numbers = self.find(grown)
+            ends = places + (begin + length - 1)
+            yield length, ends[ends >= low], numbers[ends >= low]
+
 
 class Trie:
     """Distinct words by depth.

@@ -4,6 +4,9 @@ A pre-token is a word with the word mark before it. The distinct pre-tokens of
 a batch of texts are inserted in a trie; the best unigram score of a prefix is
 computed once for all words that share it, and a word's end stores the number
 of pieces of its best segmentation. A text's count is the sum over its words.
+The trie holds words to a depth of ``CHAIN``; what is longer goes on from its
+node there as a chain of its own, with the same scores, so that a word of
+millions of characters costs time in proportion to its length.
 
 Pieces come from a vocabulary file. Files of merge ranks hold no
 probabilities, so a piece of rank r has the score ``-log(r + 2)``. A character
@@ -26,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm import bytekit as bk
-from tallgrass.llm.lattice import Pieces, Trie
+from tallgrass.llm.lattice import Pieces, Trie, code_points
 from tallgrass.llm.vocabulary import MARK, SENTENCE_FILE, sentence_pieces
 
 WORDS = re.compile("[^\x20\x09-\x0d]+")
 PIECE_BYTES = 8 << 20
+#: Depth of the trie, and characters of a chain whose pieces are found at once.
+CHAIN, CHAIN_BLOCK = 256, 1 << 18
 
 
 def rank_scores(n: int) -> np.ndarray:
@@ -41,9 +46,31 @@ def _utf8_sizes(chars: np.ndarray) -> np.ndarray:
     return 1 + (chars >= 0x80) + (chars >= 0x800) + (chars >= 0x10000)
 
 
+def _chain(word: str, pieces: Pieces, scores: np.ndarray, byte_score: float, best: list[float], used: list[int]) -> int:
+    """Pieces of a word whose prefix of ``CHAIN`` characters is done; ``best``
+    and ``used`` hold the last places of that prefix, the nearest last."""
+    sizes = _utf8_sizes(code_points([word])[0])
+    for low in range(CHAIN, len(word), CHAIN_BLOCK):
+        high = min(len(word), low + CHAIN_BLOCK)
+        ending: list[list[tuple[int, float]]] = [[] for _ in range(high - low)]
+        for length, ends, numbers in pieces.inside(word, low, high):
+            for end, score in zip((ends - low).tolist(), scores[numbers].tolist()):
+                ending[end].append((length, score))
+        for found, size in zip(ending, sizes[low:high].tolist()):
+            score, count = best[-1] + size * byte_score, used[-1] + size
+            for length, own in found:
+                s, c = best[-length] + own, used[-length] + 1
+                if length == 1 or s > score or (s == score and c < count):
+                    score, count = s, c
+            best.append(score)
+            used.append(count)
+        del best[: -pieces.longest], used[: -pieces.longest]
+    return used[-1]
+
+
 def best_counts(words: list[str], pieces: Pieces, scores: np.ndarray, byte_score: float) -> np.ndarray:
     """Pieces of the best segmentation of each distinct word."""
-    trie = Trie(words)
+    trie = Trie([w[:CHAIN] for w in words])
     best, used = [np.zeros(1)], [np.zeros(1, dtype=np.int64)]
     out = np.zeros(len(words), dtype=np.int64)
     by_depth = np.argsort(trie.end_depth, kind="stable")
@@ -66,6 +93,13 @@ def best_counts(words: list[str], pieces: Pieces, scores: np.ndarray, byte_score
             used.pop(0)
         ends = by_depth[cut[depth] : cut[depth + 1]]
         out[ends] = count[trie.end_node[ends]]
+    for i in (i for i, w in enumerate(words) if len(w) > CHAIN):
+        past_best, past_used, node = [], [], trie.end_node[i]
+        for back in range(len(best)):
+            past_best.append(float(best[-1 - back][node]))
+            past_used.append(int(used[-1 - back][node]))
+            node = trie.parents[CHAIN - 1 - back][node]
+        out[i] = _chain(words[i], pieces, scores, byte_score, past_best[::-1], past_used[::-1])
     return out
 
 
