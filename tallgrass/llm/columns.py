@@ -23,12 +23,12 @@ def words(text: Column) -> Column:
     return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \\t-\\r]+", -1))
 
 
-FOUND = "array<struct<start:int,value:string>>"
+FOUND = "array<struct<start:int,byte:int,value:string>>"
 _BLOCK = 256
 
 
 def located(text: Column, pattern: str, needs: str | None = None) -> Column:
-    """Leftmost non-overlapping matches with their code point offsets.
+    """Leftmost non-overlapping matches with their code point and byte offsets.
 
     The gaps between matches come from splitting by the pattern, so a match's
     offset is the length of all gaps and matches before it. Offsets are added
@@ -37,15 +37,25 @@ def located(text: Column, pattern: str, needs: str | None = None) -> Column:
     """
     empty = F.array().cast(FOUND)
 
+    def moved(y: Column, acc: Column) -> Column:
+        return F.struct((y["start"] + acc["pos"]).alias("start"), (y["byte"] + acc["at"]).alias("byte"), y["value"].alias("value"))
+
     def block(pairs: Column) -> Column:
         return F.aggregate(
             pairs,
-            F.struct(F.lit(0).alias("pos"), empty.alias("out")),
+            F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"), empty.alias("out")),
             lambda acc, x: F.struct(
                 (acc["pos"] + F.length(x["0"]) + F.length(x["1"])).alias("pos"),
+                (acc["at"] + F.octet_length(x["0"]) + F.octet_length(x["1"])).alias("at"),
                 F.concat(
                     acc["out"],
-                    F.array(F.struct((acc["pos"] + F.length(x["0"])).alias("start"), x["1"].alias("value"))),
+                    F.array(
+                        F.struct(
+                            (acc["pos"] + F.length(x["0"])).alias("start"),
+                            (acc["at"] + F.octet_length(x["0"])).alias("byte"),
+                            x["1"].alias("value"),
+                        )
+                    ),
                 ).alias("out"),
             ),
         )
@@ -58,18 +68,11 @@ def located(text: Column, pattern: str, needs: str | None = None) -> Column:
         )
         joined = F.aggregate(
             cut,
-            F.struct(F.lit(0).alias("pos"), F.array().cast(f"array<{FOUND}>").alias("out")),
+            F.struct(F.lit(0).alias("pos"), F.lit(0).alias("at"), F.array().cast(f"array<{FOUND}>").alias("out")),
             lambda acc, x: F.struct(
                 (acc["pos"] + x["pos"]).alias("pos"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.transform(
-                            x["out"],
-                            lambda y: F.struct((y["start"] + acc["pos"]).alias("start"), y["value"].alias("value")),
-                        )
-                    ),
-                ).alias("out"),
+                (acc["at"] + x["at"]).alias("at"),
+                F.concat(acc["out"], F.array(F.transform(x["out"], lambda y: moved(y, acc)))).alias("out"),
             ),
         )
         return F.when(n > 0, F.flatten(joined["out"])).otherwise(empty)
@@ -77,3 +80,15 @@ def located(text: Column, pattern: str, needs: str | None = None) -> Column:
     pairs = F.arrays_zip(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
     found = let(pairs, blocks)
     return found if needs is None else F.when(F.instr(text, needs) > 0, found).otherwise(empty)
+
+
+def before(raw: Column, byte: Column, reach: int) -> Column:
+    """The ``reach`` code points before a byte offset of a text.
+
+    They are cut from the text's bytes ``raw``, which needs no walk from the
+    text's begin. A code point has four bytes at most, so one that the cut
+    parts is never among the nearest ``reach``.
+    """
+    room = 4 * reach + 3
+    cut = F.substring(raw, F.greatest(byte - room, F.lit(0)) + 1, F.least(byte, F.lit(room)))
+    return F.right(cut.cast("string"), F.lit(reach))

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallgrass.llm.columns import let, located
+from tallgrass.llm.columns import before, let, located
 from tallgrass.llm.common import unused
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
@@ -46,6 +46,8 @@ CONTEXT = {
 #: Score of a confirmed pattern, and what a context word within REACH adds.
 SCORES = {"email": 0.8, "ip": 0.6, "card": 0.7, "phone": 0.6, "iban": 0.7, "ssn": 0.3}
 CONTEXT_SCORE, REACH, LEAST = 0.2, 40, 0.5
+#: Spans that are cut out of a text at a time.
+CUT_BLOCK = 256
 
 
 def _digits(value: Column) -> Column:
@@ -102,18 +104,21 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def spans_of(text: Column, kind: str) -> Column:
-    """array<struct<start, kind, end, score>> of one kind, in order."""
+def spans_of(text: Column, raw: Column, kind: str) -> Column:
+    """array<struct<start, kind, end, score, byte, stop>> of one kind, in
+    order; ``raw`` are the text's bytes, byte and stop the span's place there."""
     order = KINDS.index(kind)
 
     def span(m: Column) -> Column:
-        before = F.substring(text, F.greatest(m["start"] - REACH, F.lit(0)) + 1, F.least(m["start"], F.lit(REACH)))
-        score = F.lit(SCORES[kind]) + F.when(before.rlike(CONTEXT[kind]), CONTEXT_SCORE).otherwise(0.0)
+        near = before(raw, m["byte"], REACH).rlike(CONTEXT[kind])
+        score = F.lit(SCORES[kind]) + F.when(near, CONTEXT_SCORE).otherwise(0.0)
         return F.struct(
             m["start"].alias("start"),
             F.lit(order).alias("kind"),
             (m["start"] + F.length(m["value"])).alias("end"),
             score.alias("score"),
+            m["byte"].alias("byte"),
+            (m["byte"] + F.octet_length(m["value"])).alias("stop"),
         )
 
     found = F.filter(located(text, PATTERNS[kind], NEEDS.get(kind)), lambda m: _valid(kind, m["value"]))
@@ -136,7 +141,8 @@ def written(spans: Column) -> Column:
 def with_spans(docs: DataFrame, text: str, out: str) -> DataFrame:
     """Adds column ``out``: all spans of column ``text``, sorted."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    return docs.withColumn(out, F.sort_array(F.concat(*[spans_of(body, k) for k in KINDS])))
+    found = let(body, lambda b: let(b.cast("binary"), lambda raw: F.concat(*[spans_of(b, raw, k) for k in KINDS])))
+    return docs.withColumn(out, F.sort_array(found))
 
 
 def find_pii(spark: SparkSession, docs: DataFrame) -> DataFrame:
@@ -169,24 +175,36 @@ def mask_pii(docs: DataFrame) -> DataFrame:
     """
     spans, columns = unused(docs, "_spans"), docs.columns
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    text = F.col("text")
+    none = F.array().cast("array<string>")
+
+    def cut(raw: Column):
+        def step(acc: Column, s: Column) -> Column:
+            put = F.array(
+                F.substring(raw, acc["pos"] + 1, F.greatest(s["byte"] - acc["pos"], F.lit(0))).cast("string"),
+                F.get(names, s["kind"]),
+            )
+            return F.struct(
+                F.greatest(acc["pos"], s["stop"]).alias("pos"),
+                F.when(s["byte"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], put)).alias("out"),
+            )
 
-    def cut(acc: Column, s: Column) -> Column:
-        put = F.array(
-            F.substring(text, acc["pos"] + 1, F.greatest(s["start"] - acc["pos"], F.lit(0))), F.get(names, s["kind"])
-        )
-        return F.struct(
-            F.greatest(acc["pos"], s["end"]).alias("pos"),
-            F.when(s["start"] < acc["pos"], acc["out"]).otherwise(F.concat(acc["out"], put)).alias("out"),
-        )
+        return step
 
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
-    masked = F.aggregate(
-        F.col(spans),
-        start,
-        cut,
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["pos"] + 1, F.length(text))),
-    )
+    def whole(raw: Column) -> Column:
+        # in blocks, so that no long array is copied for each span
+        start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<array<string>>").alias("out"))
+
+        def block(acc: Column, b: Column) -> Column:
+            own = F.struct(acc["pos"].alias("pos"), none.alias("out"))
+            done = F.aggregate(F.slice(F.col(spans), b * CUT_BLOCK + 1, F.lit(CUT_BLOCK)), own, cut(raw))
+            return let(done, lambda d: F.struct(d["pos"].alias("pos"), F.concat(acc["out"], F.array(d["out"])).alias("out")))
+
+        blocks = F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / F.lit(CUT_BLOCK)).cast("int"))
+        rest = lambda acc: F.substring(raw, acc["pos"] + 1, F.octet_length(raw)).cast("string")
+        return F.aggregate(blocks, start, block, lambda acc: F.concat(F.array_join(F.flatten(acc["out"]), ""), rest(acc)))
+
+    masked = let(F.col("text").cast("string").cast("binary"), whole)
+    text = F.col("text")
     # a column of its own first: a lambda that names a column which the same
     # projection replaces would see the new value
     put = unused(docs, "_masked")
