@@ -11,11 +11,10 @@ bucket of one anchor settles all windows that chose it. The windows of one
 anchor form one context, the bytes from its first window's start to its last
 window's end; contexts that occur twice are repeated whole.
 
-What is left are buckets of different contexts. They are refined as in
-bucket-pointer refinement: the positions of all contexts of a bucket are
-sorted by bucket identifiers, first of 8 bytes, then by the pair of the
-identifiers here and at a later offset, which doubles the depth of each
-bucket; positions alone in their bucket leave at once. A bucket too large for
+What is left are buckets of different contexts. They are refined by bucket
+pointers (``refine``): the places of all contexts of a bucket are sorted by the
+buckets that lie a bucket's depth further on, part by part, and each part that
+falls out is pointed to at once by what is sorted after it. A bucket too large for
 one task is first cut: the windows of each context in two halves by their
 distance from the anchor, each half under the name of the bytes that all its
 windows share, and again until a part fits a task or is one whole window.
@@ -43,6 +42,9 @@ LENGTH = 200
 GRAM = 32
 #: Contexts of one bucket that one task refines, about 3 MB; larger ones are cut.
 IN_TASK = 8000
+#: Rows above which a key's rows are dealt over SALTS parts, and how many keys
+#: can be so: with more rows in all, the former grows.
+HOT, MAX_HOT, SALTS = 10_000, 100_000, 64
 
 
 def window_minima(grams: np.ndarray, width: int) -> np.ndarray:
@@ -150,38 +152,91 @@ def _context_rows(out: list[list]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, type=k) for c, k in zip(out, kinds)], names=names)
 
 
+#: Bytes of an initial bucket in a task, and places that are refined together.
+INITIAL, TOGETHER = 32, 1 << 16
+
+
+def initial_buckets(text: np.ndarray, words: np.ndarray, q: int) -> np.ndarray:
+    """Bucket of each place: how many places are below those that share its
+    first q bytes. Buckets so named stand in the order of their bytes."""
+    _, rank = np.unique(words, return_inverse=True)
+    have = 8
+    while have < q:
+        ahead = np.zeros(len(text), dtype=np.int64)
+        ahead[: max(0, len(text) - have)] = rank[have:] + 1
+        _, rank = np.unique(rank * (len(text) + 1) + ahead, return_inverse=True)
+        have *= 2
+    count = np.bincount(rank)
+    return (np.cumsum(count) - count)[rank]
+
+
 def refine(text: np.ndarray, positions: np.ndarray, length: int) -> np.ndarray:
     """Which positions start a ``length``-byte string that starts at another.
 
-    ``text`` is followed by enough bytes after each position. Buckets hold
-    positions equal to a depth; identifiers of later offsets refine them.
+    Bucket-pointer refinement: every place points to its bucket, whose members
+    agree in ``depth`` bytes. Some buckets at a time are sorted by the buckets
+    that their members point to ``depth`` bytes on. A bucket falls apart where
+    these differ, and its parts are as much deeper as the buckets pointed to;
+    their members point to the parts at once, so that the rest of the recursion
+    and the buckets that come later sort by what is refined already. Places
+    are done when alone or ``length`` deep. Then the positions are in suffix
+    order as far as ``length`` bytes go, and neighbours in different buckets are
+    compared byte by byte, for a bucket may have been cut by later bytes.
     """
-    padded = np.zeros(len(text) + 8, dtype=np.uint8)
-    padded[: len(text)] = text
-    pointer = np.zeros(len(text), dtype=np.int64)
-    word = np.zeros(len(text), dtype=bk.U64)
+    n = len(text)
+    if not len(positions):
+        return positions
+    padded = np.zeros(n + 8, dtype=np.uint8)
+    padded[:n] = text
+    words = np.zeros(n, dtype=bk.U64)
     for k in range(8):
-        word = (word << bk.U64(8)) | padded[k : k + len(text)].astype(bk.U64)
-    _, pointer = np.unique(word, return_inverse=True)
-    depth, alive = 8, positions
-    if not len(alive):
-        return alive
-    while True:
-        step = min(depth, length - depth)
-        depth += step
-        if depth >= length:
-            break
-        # identifiers at every place, for they are the later offsets of others
-        ahead = np.full(len(text), -1, dtype=np.int64)
-        ahead[: len(text) - step] = pointer[step:]
-        _, pointer = np.unique(pointer * (len(text) + 1) + ahead + 1, return_inverse=True)
-        count = np.bincount(pointer[alive])
-        alive = alive[count[pointer[alive]] > 1]
-        if not len(alive):
-            return alive
-    pair = pointer[alive] * (len(text) + 1) + pointer[alive + step]
-    _, last, count = np.unique(pair, return_inverse=True, return_counts=True)
-    return alive[count[last] > 1]
+        words = (words << bk.U64(8)) | padded[k : k + n].astype(bk.U64)
+    q = 8
+    while 2 * q <= min(length, INITIAL):
+        q *= 2
+    bucket = initial_buckets(text, words, q)
+    depth = np.full(n, q, dtype=np.int64)
+    size = np.bincount(bucket, minlength=n)
+    shared = np.flatnonzero(size[bucket] > 1)
+    shared = shared[np.argsort(bucket[shared], kind="stable")]
+    edge = np.flatnonzero(np.diff(bucket[shared], prepend=-1))  # where buckets begin
+    at = 0
+    while at < len(shared):
+        end = np.searchsorted(edge, at + TOGETHER)
+        end = int(edge[end]) if end < len(edge) else len(shared)
+        members = shared[at:end]
+        at = end
+        while len(members):
+            group = bucket[members]
+            members = members[depth[group] < length]
+            group = bucket[members]
+            onward = members + depth[group]
+            inside = onward < n
+            key = np.where(inside, bucket[np.where(inside, onward, 0)], -1)
+            order = np.argsort(group * (n + 1) + key + 1, kind="stable")
+            members, group, key = members[order], group[order], key[order]
+            if not len(members):
+                break
+            new_group = np.diff(group, prepend=-1) != 0
+            first = np.flatnonzero(new_group | (np.diff(key, prepend=-2) != 0))
+            count = np.diff(np.append(first, len(members)))
+            begin = np.maximum.accumulate(np.where(new_group, np.arange(len(members)), 0))
+            name = group[first] + first - begin[first]
+            deeper = depth[group[first]] + np.where(key[first] < 0, length, depth[np.maximum(key[first], 0)])
+            bucket[members] = np.repeat(name, count)
+            depth[name] = deeper
+            members = members[np.repeat(count > 1, count)]
+    ranked = positions[np.argsort(bucket[positions], kind="stable")]
+    left, right = ranked[:-1], ranked[1:]
+    same = bucket[left] == bucket[right]
+    maybe = np.flatnonzero(~same)
+    for offset in [*range(0, length - 8, 8), length - 8]:
+        maybe = maybe[words[left[maybe] + offset] == words[right[maybe] + offset]]
+    same[maybe] = True
+    twice = np.zeros(len(ranked), dtype=bool)
+    twice[:-1] |= same
+    twice[1:] |= same
+    return ranked[twice]
 
 
 RUNS = "doc long, first int, starts int"
@@ -324,6 +379,20 @@ def _strip(length: int):
     return run
 
 
+def _spread_join(left: DataFrame, right: DataFrame, keys: list[str], hot: DataFrame) -> DataFrame:
+    """Inner join of places with distinct ``right`` keys. The rows of the keys
+    in ``hot``, at most ``MAX_HOT`` by their definition, are dealt over
+    ``SALTS`` parts, so that copies without number don't meet in one task."""
+    if hot.isEmpty():
+        return left.join(right, keys)
+    known = F.broadcast(hot.select(*keys, F.lit(True).alias("hot")))
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1))
+    salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc", "first"), F.lit(SALTS))).otherwise(0).cast("int")
+    dealt = left.join(known, keys, "left").withColumn("salt", salt).drop("hot")
+    copied = right.join(known, keys, "left").withColumn("salt", F.explode(F.when(F.col("hot"), every).otherwise(F.array(F.lit(0))))).drop("hot")
+    return dealt.join(copied, [*keys, "salt"]).drop("salt")
+
+
 def remove_repeats(
     spark: SparkSession,
     docs: DataFrame,
@@ -356,16 +425,18 @@ def remove_repeats(
     )
     # initial buckets; one row of a context stands for all its copies
     # (saved, so that the join can split the rows of a frequent bucket)
-    counted = space.save(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
-    shared = space.save(marked.join(counted, "gram"))
+    counted = space.save(marked.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1"))
+    # a key above this share of the rows is hot; there are at most MAX_HOT
+    share = max(HOT, marked.count() // MAX_HOT)
+    shared = space.save(_spread_join(marked, counted.select("gram"), ["gram"], counted.where(F.col("n") > share)))
     space.drop(marked, counted)
     contexts = shared.groupBy("gram", "context").agg(
         F.count(F.lit(1)).alias("m"), F.min(F.struct("doc", "first", "starts")).alias("s")
     )
     contexts = space.save(contexts.select("gram", "context", "m", "s.doc", "s.first", "s.starts"))
-    whole = shared.join(contexts.where("m > 1").select("gram", "context"), ["gram", "context"]).select(
-        "doc", "first", "starts"
-    )
+    names = ["gram", "context"]
+    copied = contexts.where("m > 1").select(*names)
+    whole = _spread_join(shared, copied, names, contexts.where(F.col("m") > share)).select("doc", "first", "starts")
     mixed = contexts.groupBy("gram").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1")
     asked = contexts.join(mixed, "gram").select("doc", F.struct("gram", "m", "first", "starts", "kinds").alias("s"))
     asked = asked.groupBy("doc").agg(F.collect_list("s").alias("asked"))
