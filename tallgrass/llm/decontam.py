@@ -1,12 +1,20 @@
 """Benchmark items inside documents by size-partitioned MinHash containment.
 
-DataFrame functions only. Items are parted by the size of their shingle sets.
-The sketch of an item is its shingles of smallest hash, as many as its part
-needs: an item of n shingles that is contained to a share t misses at most
-``n - ceil(t * n)`` of them, so one shingle more than the part's largest such
-number can't all be missed, and no contained item is lost. A document with any
-sketch shingle is a candidate; candidates are verified on all shingles, as
-strings. The sizes of documents don't matter, for only items are sketched.
+DataFrame functions only. Items are parted by the size of their shingle sets,
+from each power of two to the next. The sketch of an item is its shingles of
+smallest hash; a part's sketches have one size, ``HITS`` more than the shingles
+that the part's largest item may miss. A document that holds a share t of an
+item of n shingles misses at most ``n - ceil(t * n)`` of them, so at least the
+rest of the sketch is found in it. The share of the sketch that is found thus
+estimates the containment, from below enough: a document is a candidate for an
+item when so much of the sketch is found, and no contained item is lost.
+Candidates are verified on all shingles, as strings.
+
+Documents have no signature of their own. The smallest hashes of a long
+document are nearly all of shingles outside a short item, so a signature that
+is to find it must grow with the document until it is the document's whole
+set; the set is therefore streamed past the sketches instead, and what is
+parted by size are the items, whose sketches must not miss.
 
 Sketches and item shingles are broadcast while their files are small, and
 joined by shuffle otherwise. Words are lower-cased runs between white space.
@@ -29,6 +37,9 @@ from tallgrass.llm.columns import words
 from tallgrass.llm.common import Workspace, bounded_broadcast
 
 SIZE, SHARE = 5, (8, 10)
+#: Sketch shingles, at least, that a document must hold of an item, where the
+#: item has so many.
+HITS = 4
 #: File bytes up to which sketches or item shingles are broadcast.
 BROADCAST_BYTES = 16 << 20
 
@@ -75,23 +86,36 @@ def contained_items(
         F.row_number().over(Window.partitionBy("item_id", "item").orderBy(h, "shingle")).alias("rank"),
         F.count(F.lit(1)).over(Window.partitionBy("item_id", "item")).alias("n_item"),
     )
-    # sizes 2**p .. 2**(p+1)-1 form a part; its sketches hold what its largest needs
+    # sizes 2**p .. 2**(p+1)-1 form a part
     largest = F.pow(F.lit(2.0), F.floor(F.log2("n_item")) + 1).cast("long") - 1
-    needed = largest - F.ceil(largest * num / den) + 1
-    ranked = space.save(ranked.select("item_id", "item", "k", "shingle", "n_item", (F.col("rank") <= needed).alias("sketched")))
+
+    def misses(n: Column) -> Column:
+        return n - F.ceil(n * num / den)
+
+    held = F.least(F.col("n_item"), misses(largest) + HITS)
+    ranked = space.save(
+        ranked.select(
+            "item_id", "item", "k", "shingle", "n_item",
+            (F.col("rank") <= held).alias("sketched"), (held - misses(F.col("n_item"))).alias("least"),
+        )
+    )
 
     keyed = _worded(docs, [doc_key().alias("key")])
     found = None
     for k in [r["k"] for r in ranked.select("k").distinct().collect()]:  # at most five values
         pieces = F.split("shingle", " ")
         sketch = ranked.where((F.col("k") == k) & F.col("sketched")).select(
-            F.xxhash64(F.lit(k), *[F.get(pieces, F.lit(i)) for i in range(k)]).alias("h")
+            F.xxhash64(F.lit(k), *[F.get(pieces, F.lit(i)) for i in range(k)]).alias("h"), "item_id", "item", "least"
         )
-        sketch = space.save(sketch.distinct())
-        hits = shingle_rows(keyed, ["key"], k, "h", True).join(
-            bounded_broadcast(sketch, BROADCAST_BYTES), "h", "left_semi"
+        sketch = space.save(sketch)
+        hits = shingle_rows(keyed, ["key"], k, "h", True).join(bounded_broadcast(sketch, BROADCAST_BYTES), "h")
+        some = (
+            hits.distinct()
+            .groupBy("key", "item_id", "item", "least")
+            .agg(F.count(F.lit(1)).alias("hits"))
+            .where("hits >= least")
+            .select("key", F.lit(k).alias("k"))
         )
-        some = hits.select("key").distinct().withColumn("k", F.lit(k))
         found = some if found is None else found.unionByName(some)
     if found is None:
         return spark.createDataFrame([], "doc_id long, item_id long, n_shared long, n_item long, containment double, key long")
