@@ -1,10 +1,12 @@
 """Secret spans: fixed patterns, and dictionary-primed zstandard novelty.
 
 Three base kinds are read from patterns alone. The method adds the kind
-``novel``: after each word of a sensitive context, strings that mix letters
-and digits are candidates, and a candidate is reported if it adds many bytes
-to the compressed form of what surrounds it. The compressor is primed with a
-dictionary of identifiers, so that long but ordinary names add few bytes.
+``novel``: strings of ``LEAST`` characters or more near a word of a sensitive
+context, before or after it, are candidates, and a candidate is reported if it
+adds many bytes to the compressed form of what surrounds it. The compressor is
+primed with a dictionary of identifiers, so that long but ordinary names add
+few bytes. A context word inside a run of characters ends the string before it
+and begins the next, so no two novel spans overlap.
 
 Defined results. A null or empty text has no span. Positions are code points,
 the end exclusive. Repeated rows are scanned each; other columns of the input
@@ -35,7 +37,9 @@ HEX = re.compile(r"[0-9a-f]{24,}")
 CONTEXT_WORDS = (*ASSIGN_WORDS, "credential", "private_key", "private key", "access key", "access_key", "bearer ", "authorization", "pwd")
 CONTEXT = re.compile("|".join(map(re.escape, CONTEXT_WORDS)), re.IGNORECASE)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
-REACH = 64
+#: Characters of the shortest candidate (the pattern asks them of the run that
+#: it lies in), and how far a context word may be.
+LEAST, REACH = 16, 64
 AROUND = 160
 #: Marginal compressed bytes per character at which a candidate is novel.
 NOVELTY = 0.7
@@ -77,28 +81,46 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return found
 
 
+def candidates(text: str) -> list[tuple[int, int]]:
+    """(start, end) of the strings near a context word, in order."""
+    words = [m.span() for m in CONTEXT.finditer(text)]
+    found, near, cut = [], 0, 0
+    for m in CANDIDATE.finditer(text):
+        # the run without the context words that lie in it
+        while cut < len(words) and words[cut][1] <= m.start():
+            cut += 1
+        at, i, parts = m.start(), cut, []
+        while i < len(words) and words[i][0] < m.end():
+            parts.append((at, words[i][0]))
+            at = words[i][1]
+            i += 1
+        parts.append((at, m.end()))
+        for a, b in parts:
+            if b - a < LEAST:
+                continue
+            while near < len(words) and words[near][1] < a - REACH:
+                near += 1
+            if near < len(words) and words[near][0] <= b + REACH:
+                found.append((a, b))
+    return found
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float) -> list[tuple[int, int, int]]:
-    """Candidates near a sensitive word that hardly compress, outside base spans."""
+    """Candidates that hardly compress, outside base spans."""
     low = text.lower()
     if not any(w in low for w in CONTEXT_WORDS):
         return []
-    found, seen = [], set()
-    for word in CONTEXT.finditer(text):
-        at, stop = word.end(), word.end() + REACH
-        while begin := CANDIDATE.search(text, at, min(len(text), stop + 16)):
-            m = CANDIDATE.match(text, begin.start())  # whole, past the window
-            at = m.end()
-            if m.start() in seen:
-                continue
-            seen.add(m.start())
-            value = m[0]
-            if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
-                continue
-            if any(a < m.end() and m.start() < b for a, _, b in base):
-                continue
-            before, after = text[max(0, m.start() - AROUND) : m.start()], text[m.end() : m.end() + AROUND]
-            if novelty.marginal(before, value, after) >= least * len(value):
-                found.append((m.start(), 3, m.end()))
+    found, taken = [], sorted((a, b) for a, _, b in base)
+    i, reach = 0, -1  # base spans that begin before a candidate's end, and their last end
+    for a, b in candidates(text):
+        while i < len(taken) and taken[i][0] < b:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if reach > a:
+            continue
+        before, after = text[max(0, a - AROUND) : a], text[b : b + AROUND]
+        if novelty.marginal(before, text[a:b], after) >= least * (b - a):
+            found.append((a, 3, b))
     return found
 
 
