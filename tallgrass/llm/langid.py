@@ -8,9 +8,11 @@ probabilities are fitted by expectation maximisation, whose expectations come
 from the forward and backward passes of the same lattice.
 
 Fitting takes a bounded sample: about ``SAMPLE_DOCS`` labelled documents of
-each language, chosen by a hash of doc_id, and of their words the
-``SAMPLE_WORDS`` most frequent. Documents whose crc32(doc_id as text) mod 4 is
-2 are never learned from. Every document is predicted from its whole text.
+each language, chosen by a hash, with all words of theirs. Each language is
+fitted in a task of its own; the driver gets one row of probabilities for each
+of at most ``MAX_LANGUAGES`` languages, and stops with an error beyond these.
+Documents whose crc32(doc_id as text) mod 4 is 2 are never learned from. Every
+document is predicted from its whole text.
 
 Words are lower-cased runs of letters; runs of more than 64 letters are scored
 64 at a time. Defined results. A null text, one without a letter, or any text
@@ -27,14 +29,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallgrass.llm import bytekit as bk
 from tallgrass.llm.lattice import Pieces, Trie
 from tallgrass.llm.vocabulary import MARK, SENTENCE_FILE, sentence_pieces
 
-SAMPLE_DOCS, SAMPLE_WORDS, MAX_LANGUAGES = 400, 30_000, 500
+SAMPLE_DOCS, MAX_LANGUAGES = 400, 500
 ROUNDS, SMOOTHING = 3, 0.05
 RUN = 64
 #: Probability of a character that no piece covers.
@@ -138,6 +140,18 @@ def _sample_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         )
 
 
+def _fit_language(listed: list[str]):
+    """One row (lang, chance) from the (lang, word, n) rows of a language."""
+
+    def run(key: tuple, group: pa.Table) -> pa.Table:
+        t = group.select(["word", "n"]).sort_by("word")
+        counts = t["n"].to_numpy().astype(np.float64)[:, None]
+        chance = fit(t["word"].to_pylist(), counts, Pieces(listed), len(listed))[:, 0]
+        return pa.table({"lang": pa.array([key[0].as_py()]), "chance": pa.array([chance.tolist()])})
+
+    return run
+
+
 def learn(spark: SparkSession, docs: DataFrame, vocabulary: str = SENTENCE_FILE):
     """(languages, pieces, probabilities) from a bounded labelled sample."""
     known = docs.where(~held_out(F.col("doc_id"))).where("lang is not null and text is not null").select(
@@ -150,25 +164,19 @@ def learn(spark: SparkSession, docs: DataFrame, vocabulary: str = SENTENCE_FILE)
         return [], None, None
     # a document is chosen if its hash falls in its language's share
     share = F.create_map(*[x for k, n in langs.items() for x in (F.lit(k), F.lit(min(1.0, SAMPLE_DOCS / n)))])
-    chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
+    chosen = known.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < share[F.col("lang")] * float(1 << 20))
     counted = (
         chosen.select("lang", "text")
         .mapInArrow(_sample_words, "lang string, word string, n long")
         .groupBy("lang", "word")
         .agg(F.sum("n").alias("n"))
     )
-    top = counted.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word")))
-    rows = top.where(F.col("r") <= SAMPLE_WORDS).select("lang", "word", "n").toPandas()
-    if rows.empty:
-        return [], None, None
-    names = sorted(rows["lang"].unique())
-    words = sorted(rows["word"].unique())
-    number = {w: i for i, w in enumerate(words)}
-    counts = np.zeros((len(words), len(names)))
-    counts[rows["word"].map(number).to_numpy(), rows["lang"].map({k: i for i, k in enumerate(names)}).to_numpy()] = rows["n"]
     listed = letter_pieces(vocabulary)
-    pieces = Pieces(listed)
-    return names, pieces, fit(words, counts, pieces, len(listed))
+    fitted = counted.groupBy("lang").applyInArrow(_fit_language(listed), "lang string, chance array<double>").collect()
+    if not fitted:
+        return [], None, None
+    fitted = sorted(fitted, key=lambda r: r["lang"])
+    return [r["lang"] for r in fitted], Pieces(listed), np.array([r["chance"] for r in fitted]).T.copy()
 
 
 def _predict(names: list[str], pieces: Pieces | None, chance: np.ndarray | None):
