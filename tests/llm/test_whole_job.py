@@ -78,20 +78,20 @@ def test_op4_keeps_what_is_drawn():
 def test_op3_against_a_plain_mix(spark):
     """Draws, permutations and packing, done plainly, take the same words."""
     import numpy as np
-    import xxhash
 
-    def h64(*values):
-        """Spark's xxhash64 of longs, of ints given as (value,), of strings."""
-        acc = 42
-        for v in values:
-            raw = v.encode() if isinstance(v, str) else v[0].to_bytes(4, "little", signed=True) if isinstance(v, tuple) else v.to_bytes(8, "little", signed=True)
-            acc = xxhash.xxh64_intdigest(raw, seed=acc)
-        return acc - 2**64 if acc >= 2**63 else acc
+    def mix(x):
+        x = x % 2**64
+        x ^= x >> 31
+        x = x * 0x9FB21C651E98DF25 % 2**64
+        x ^= x >> 29
+        x = x * 0xD6E8FEB86659FD93 % 2**64
+        return x ^ (x >> 32)
 
     def permuted(x, n, source, epoch, seed):
+        name = mix(mix(source + seed + 1) + epoch)
         for r in range(1, mixing.ROUNDS + 1):
-            partner = (h64((seed,), source, epoch, (r,)) % n - x) % n
-            if h64((seed + 1,), source, epoch, (r,), max(x, partner)) % 2 == 1:
+            partner = (mix(name + 2 * r) % n - x) % n
+            if mix(mix(name + 2 * r + 1) + max(x, partner)) % 2 == 1:
                 x = partner
         return x
 
@@ -128,9 +128,9 @@ def test_op3_the_draw_decides(spark, monkeypatch):
     assert all(abs(x - w) < 12 for c in one for x, w in zip(c, wanted))
     data = [(i, f"w{i} " * (20 + i % 40), "abc"[i % 3]) for i in range(90)]
     df = spark.createDataFrame(data, "doc_id long, text string, source string")
-    drawn = sorted(tuple(r) for r in mixing.mix(spark, df, shards=4).collect())
+    drawn = sorted(tuple(r) for r in mixing.mix(spark, df, shards=4, seed=1).collect())
     monkeypatch.setattr(mixing, "draw_shards", lambda wanted, most, shards, seed: np.round(wanted).astype(np.int64)[None, :])
-    fixed = sorted(tuple(r) for r in mixing.mix(spark, df, shards=4).collect())
+    fixed = sorted(tuple(r) for r in mixing.mix(spark, df, shards=4, seed=1).collect())
     assert [(r[0], r[4]) for r in drawn] != [(r[0], r[4]) for r in fixed]
 
 
@@ -142,3 +142,104 @@ def test_mixing_stage_keeps_rows_apart(spark):
     whole = {o: (i, t, s) for i, t, s, o in rows}
     assert all((r.doc_id, r.text, r.source) == whole[r.own] and r["size"] == len(r.text.split()) for r in got)
     assert all(0 < r.taken <= 3 * r["size"] for r in got)
+
+
+def test_op5_long_words():
+    import time
+
+    import numpy as np
+    from test_brute import best_split
+
+    from tallgrass.llm import lattice, token_counts
+    from tallgrass.llm.vocabulary import MARK, sentence_pieces
+
+    known, _ = sentence_pieces()
+    scores, byte_score = token_counts.rank_scores(len(known)), float(-np.log(len(known) + 2.0))
+    pieces, table, rng = lattice.Pieces(list(known)), dict(zip(known, token_counts.rank_scores(len(known)).tolist())), random.Random(1)
+    letters = "abcdefghijtheringonésßü😀0123XYZ=/+"
+    made = [MARK + "".join(rng.choice(letters) for _ in range(n)) for n in (10, 254, 255, 256, 257, 300, 3000)]
+    made += [made[-1] + "zz", made[3] + "the", MARK + "x" * 2000]
+    expected = [best_split(w, table, byte_score) for w in made]
+    assert token_counts.best_counts(made, pieces, scores, byte_score).tolist() == expected
+    began = time.monotonic()
+    token_counts.best_counts([MARK + "".join(rng.choice(letters) for _ in range(1_000_000))], pieces, scores, byte_score)
+    assert time.monotonic() - began < 60
+
+
+def test_op9_many_spans(spark):
+    from tallgrass.llm import pii
+
+    kinds = ("email", "ip", "card", "phone")
+    texts = [" ".join(f"+1 555 0000{i:04d}" for i in range(5000)), "é😀 mail x@y.example " * 900, "é" * 50 + " my ssn 123-45-6789" * 300]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for r in pii.find_pii(spark, df).collect():
+        assert r.base_sha256 == brute.digest(brute.pii_spans(texts[r.doc_id]), kinds)
+        assert r.n_ssn == (300 if r.doc_id == 2 else 0)
+    assert {r.doc_id: r.text for r in pii.mask_pii(df.where("doc_id < 2")).collect()} == {i: brute.mask(t) for i, t in enumerate(texts[:2])}
+
+
+def test_op6_orders_rules_by_rejections_per_cost(spark):
+    from tallgrass.llm import quality
+
+    sample = spark.range(4000).withColumn("body", F.repeat(F.lit("some words here "), 200)).cache()
+    slow = F.lit(False)
+    for i in range(12):
+        slow = slow | (F.length(F.regexp_replace(F.concat("body", F.col("id").cast("string"), F.lit(str(i))), "[aeiou]+|s.m", "")) < 0)
+    hits = {
+        "never": F.col("id") < 0,
+        "slow_half": slow | (F.col("id") % 2 == 0),
+        "half": F.col("id") % 2 == 0,
+        "slow_tenth": slow | (F.col("id") % 10 == 0),
+    }
+    order = quality.order_rules(sample, hits, F.length("body") < 0)
+    assert order[0] == "half" and order[-1] == "never"
+    assert order.index("slow_half") < order.index("slow_tenth")
+    sample.unpersist()
+
+
+def test_op7_hot_copies(spark, monkeypatch):
+    from tallgrass.llm import suffix_dedup
+
+    monkeypatch.setattr(suffix_dedup, "HOT", 5)
+    rng = random.Random(12)
+    passage = " ".join(rng.choice("abcdefghijk") * 3 for _ in range(80))
+    texts = [f"{i} own words {i * 7} " + passage + f" tail {i}" * (i % 4) for i in range(40)] + [f"alone {i} " * 60 for i in range(10)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_dedup.remove_repeats(spark, df).collect()}
+    assert got == dict(enumerate(brute.repeats(texts)))
+
+
+def test_op2_novel_spans_against_a_plain_search():
+    from tallgrass.llm import secrets_scan as scan
+
+    novelty, rng = scan.Novelty(), random.Random(2)
+
+    def plain(text):
+        words, out = [m.span() for m in scan.CONTEXT.finditer(text)], []
+        for m in scan.CANDIDATE.finditer(text):
+            at = m.start()
+            for x, y in [w for w in words if w[0] < m.end() and w[1] > m.start()] + [(m.end(), m.end())]:
+                a, b, at = at, x, y
+                if b - a < 16 or not any(w[1] >= a - 64 and w[0] <= b + 64 for w in words):
+                    continue
+                if any(p < b and a < q for p, _, q in scan.base_spans(text)):
+                    continue
+                if novelty.marginal(text[max(0, a - 160) : a], text[a:b], text[b : b + 160]) >= scan.NOVELTY * (b - a):
+                    out.append((a, 3, b))
+        return out
+
+    bits = [" ", "password", "secret_", "token", "abc", "Zk3vQ9tX7bLw2RsY8m", "x" * 9, "=", "q9XzT7bLk2PwV5nR8sYd4GhJ", "bearer ", " " * 20, "0a1b" * 7]
+    some = 0
+    for text in ["".join(rng.choice(bits) for _ in range(rng.randrange(30))) for _ in range(400)]:
+        got = scan.novel_spans(text, scan.base_spans(text), novelty, scan.NOVELTY)
+        assert got == plain(text)
+        assert all(a[2] <= b[0] for a, b in zip(got, got[1:]))
+        some += len(got)
+    assert some > 50
+
+    def one(text):
+        return [text[a:b] for a, _, b in scan.novel_spans(text, scan.base_spans(text), novelty, scan.NOVELTY)]
+
+    assert one("my secret_token_q9XzT7bLk2PwV5nR8sYd4GhJ end") == ["_q9XzT7bLk2PwV5nR8sYd4GhJ"]
+    assert one("q9XzT7bLk2PwV5nR8sYd4GhJ is my password") == ["q9XzT7bLk2PwV5nR8sYd4GhJ"]
+    assert one("credential qwXzTkbLkhPwVbnRwsYdqGhJ") == ["qwXzTkbLkhPwVbnRwsYdqGhJ"]
