@@ -38,6 +38,7 @@ import re
 from fractions import Fraction
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -106,16 +107,25 @@ def draw_shards(wanted: np.ndarray, most: np.ndarray, shards: int, seed: int) ->
     return out
 
 
+def shuffled(place: np.ndarray, n: np.ndarray, source: np.ndarray, epoch: np.ndarray, seed: int) -> np.ndarray:
+    """Swap-or-not shuffle of each place in 0..n-1, keyed by source and epoch."""
+    x, n = place.astype(bk.U64), n.astype(bk.U64)
+    name = bk.mix(bk.mix(source.astype(bk.U64) + bk.U64(seed + 1)) + epoch.astype(bk.U64))
+    for r in range(1, ROUNDS + 1):
+        key = bk.mix(name + bk.U64(2 * r)) % n
+        partner = np.where(key >= x, key - x, key + (n - x))
+        side = bk.mix(bk.mix(name + bk.U64(2 * r + 1)) + np.maximum(x, partner))
+        x = np.where(side & bk.U64(1) == 1, partner, x)
+    return x.astype(np.int64)
+
+
 def permuted(place: Column, n: Column, source: Column, epoch: Column, seed: int) -> Column:
-    """Swap-or-not shuffle of ``place`` in 0..n-1, keyed by source and epoch."""
+    """``shuffled`` as a column of longs, a batch of rows at a time."""
 
-    def swap(x: Column, r: Column) -> Column:
-        key = F.pmod(F.xxhash64(F.lit(seed), source, epoch, r), n)
-        partner = F.pmod(key - x, n)
-        side = F.xxhash64(F.lit(seed + 1), source, epoch, r, F.greatest(x, partner))
-        return F.when(F.pmod(side, F.lit(2)) == 1, partner).otherwise(x)
+    def run(place: pd.Series, n: pd.Series, source: pd.Series, epoch: pd.Series) -> pd.Series:
+        return pd.Series(shuffled(*(v.to_numpy().astype(np.int64) for v in (place, n, source, epoch)), seed))
 
-    return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), place, swap)
+    return F.pandas_udf(run, "long")(place, n, source, epoch)
 
 
 NAMED = "k long, source string, source_size long, target double"
@@ -164,7 +174,7 @@ OUT = "shard long, slot long, k long, block long, text string, parts array<struc
 def _pack(block: int):
     """Packs a chunk's documents in blocks and gives each slot its block.
 
-    Left: doc_id, size, mark and text of documents with words. Right: k, shard,
+    Left: doc_id, mark and text of documents with words. Right: k, shard,
     slot and b of slots, with the chunk's first block and first word.
     """
 
@@ -175,14 +185,15 @@ def _pack(block: int):
         )
         if not right.num_rows or not left.num_rows:
             return schema.empty_table()
-        order = pc.sort_indices(left, sort_keys=[(c, "ascending") for c in ("doc_id", "size", "mark")], null_placement="at_start")
+        order = pc.sort_indices(left, sort_keys=[("doc_id", "ascending"), ("mark", "ascending")], null_placement="at_start")
         left = left.take(order)
         right = right.combine_chunks()
-        size = left["size"].to_numpy()
         offsets, data = bk.utf8(left["text"])
         raw = data.tobytes()
         held: list[bytes] = []
-        for a, z in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        begin = np.empty(left.num_rows, dtype=np.int64)
+        for i, (a, z) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+            begin[i] = len(held)
             held += WORDS.findall(raw, a, z)
         total = len(held)
         # a block's words with a space between: pieces of all words so joined
@@ -193,7 +204,6 @@ def _pack(block: int):
         high = (ends[np.minimum(cut + block, total) - 1] - 1).tolist()
         texts = pa.array([joined[a:z] for a, z in zip(low, high)], type=pa.binary()).cast(pa.string())
         # pieces between the bounds of blocks and documents
-        begin = np.cumsum(size) - size
         edge = np.unique(np.concatenate([cut, begin]))
         doc = np.searchsorted(begin, edge, side="right") - 1
         length = np.diff(np.append(edge, total))
@@ -230,7 +240,7 @@ def _mixed(space: Workspace, docs: DataFrame, seed: int, block: int, shards: int
     def chunked(df: DataFrame) -> DataFrame:
         known = named.select("k", F.col("source").alias("_source"), "source_size", "target")
         met = df.join(known, df["source"].eqNullSafe(F.col("_source"))).drop("_source")
-        return met.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "size", "mark"), F.lit(chunks)))
+        return met.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(chunks)))
 
     # the chunks' first words and blocks, by running sums over chunks
     before = Window.partitionBy("k").orderBy("chunk").rowsBetween(Window.unboundedPreceding, -1)
@@ -248,8 +258,8 @@ def _mixed(space: Workspace, docs: DataFrame, seed: int, block: int, shards: int
             count.alias("blocks"),
         )
     )
-    # rows equal in doc_id, size and text may swap places
-    inside = Window.partitionBy("k", "chunk").orderBy("doc_id", "size", "mark").rowsBetween(Window.unboundedPreceding, -1)
+    # rows equal in doc_id and text may swap places
+    inside = Window.partitionBy("k", "chunk").orderBy("doc_id", "mark").rowsBetween(Window.unboundedPreceding, -1)
     within = chunked(sized).withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     places = space.save(
         within.join(offsets.select("k", "chunk", "origin"), ["k", "chunk"], "left").select(
@@ -273,7 +283,7 @@ def _mixed(space: Workspace, docs: DataFrame, seed: int, block: int, shards: int
         .where("b >= base and b < base + blocks")
         .select("k", "chunk", "shard", "slot", "b", "base", "origin")
     )
-    texts = chunked(rows).where("size > 0").select("k", "chunk", "doc_id", "size", "mark", "text")
+    texts = chunked(rows.drop("size").where(F.col("text").rlike("[^ \\t-\\r]"))).select("k", "chunk", "doc_id", "mark", "text")
     packed = texts.groupBy("k", "chunk").cogroup(asked.groupBy("k", "chunk")).applyInArrow(_pack(block), OUT)
     out = space.save(packed, compression="zstd")
     space.drop(sized, offsets, ranges)
