@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallgrass.functions import text as T
+from tallgrass.functions.let import let
 
 CHUNK_CHARS, SCAN_CHARS, QUERY_CHARS = 1600, 240_000, 500
-BROADCAST_QUERIES = 5000
+#: Queries that a task scores at a time.
+QUERY_BLOCK = 5000
 #: Score of an exact query in the metadata or the text, and of each term.
 EXACT_META, EXACT_TEXT, TERM_META, TERM_TEXT = 80, 60, 12, 8
 
@@ -20,25 +27,33 @@ def chunk_array(markdown: Column, n: int = CHUNK_CHARS) -> Column:
     none = F.array().cast("array<struct<heading:string,text:string>>")
 
     def flushed(acc: Column) -> Column:
-        body = T.trim(acc["body"])
-        cut = F.transform(
-            F.sequence(F.lit(0), F.floor((F.length(body) - 1) / n).cast("int")),
-            lambda i: F.struct(acc["heading"].alias("heading"), F.substring(body, i * n + 1, F.lit(n)).alias("text")),
-        )
-        return F.when(F.length(body) > 0, F.concat(acc["chunks"], cut)).otherwise(acc["chunks"])
+        def cut(body: Column) -> Column:
+            parts = F.transform(
+                F.sequence(F.lit(0), F.floor((F.length(body) - 1) / n).cast("int")),
+                lambda i: F.struct(acc["heading"].alias("heading"), F.substring(body, i * n + 1, F.lit(n)).alias("text")),
+            )
+            return F.when(F.length(body) > 0, F.concat(acc["chunks"], parts)).otherwise(acc["chunks"])
+
+        # (an open chunk without anything but white space needs no trimming)
+        return F.when(acc["solid"], let(T.trim(acc["body"]), cut)).otherwise(acc["chunks"])
 
     def step(acc: Column, line: Column) -> Column:
-        title = F.regexp_extract(line, "^#{1,6}\\s+(.+)$", 1)
-        added = F.when(acc["body"] == "", line).otherwise(F.concat(F.lit("\n"), line))
-        full = (F.length(acc["body"]) + F.length(added) > n) & (T.trim(acc["body"]) != "")
+        added = F.when(acc["size"] == 0, line).otherwise(F.concat(F.lit("\n"), line))
+        size = F.length(line) + F.when(acc["size"] == 0, 0).otherwise(1)
+        solid = line.rlike(f"(?!{T.WS})(?s:.)")
         is_title = line.rlike("^#{1,6}\\s+.+$")
+        full = acc["solid"] & (acc["size"] + size > n)
         return F.struct(
-            F.when(is_title, T.trim(title)).otherwise(acc["heading"]).alias("heading"),
+            F.when(is_title, T.trim(F.regexp_extract(line, "^#{1,6}\\s+(.+)$", 1))).otherwise(acc["heading"]).alias("heading"),
             F.when(is_title, "").when(full, added).otherwise(F.concat(acc["body"], added)).alias("body"),
+            F.when(is_title, 0).when(full, size).otherwise(acc["size"] + size).alias("size"),
+            F.when(is_title, False).when(full, solid).otherwise(acc["solid"] | solid).alias("solid"),
             F.when(is_title | full, flushed(acc)).otherwise(acc["chunks"]).alias("chunks"),
         )
 
-    start = F.struct(F.lit("").alias("heading"), F.lit("").alias("body"), none.alias("chunks"))
+    start = F.struct(
+        F.lit("").alias("heading"), F.lit("").alias("body"), F.lit(0).alias("size"), F.lit(False).alias("solid"), none.alias("chunks")
+    )
     return F.aggregate(lines, start, step, flushed)
 
 
@@ -50,42 +65,103 @@ def chunks(docs: DataFrame, keys: list[str], text: str) -> DataFrame:
     return rows.select(*keys, (F.col("pos") + 1).alias("chunk_no"), "chunk.heading", "chunk.text")
 
 
-def score(metadata: Column, content: Column, exact: Column, terms: Column) -> Column:
-    """Score of normalised metadata and content for a query and its terms."""
-    whole = F.when((exact != "") & F.contains(metadata, exact), EXACT_META).otherwise(0) + F.when(
-        (exact != "") & F.contains(content, exact), EXACT_TEXT
-    ).otherwise(0)
-    return F.aggregate(
-        terms,
-        whole,
-        lambda acc, t: acc
-        + F.when(F.contains(metadata, t), TERM_META).otherwise(0)
-        + F.when(F.contains(content, t), TERM_TEXT).otherwise(0),
-    )
+class Scorer:
+    """Scores of texts for a block of queries, each distinct needle once.
 
+    A needle is a term or a whole query; an automaton finds all that a text
+    holds in one pass over it, and each adds its weight to the queries that
+    have it.
+    """
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
-    """Top k chunks of each query: best score, then document order, chunk.
+    def __init__(self, asked: list[tuple[str, list[str]]]):
+        import ahocorasick
+
+        number: dict[str, int] = {}
+        held: list[list[tuple[int, int, int]]] = []
+        for q, (exact, terms) in enumerate(asked):
+            wanted = [(t, TERM_META, TERM_TEXT) for t in terms] + [(exact, EXACT_META, EXACT_TEXT)]
+            for needle, meta, content in wanted:
+                if needle:
+                    at = number.setdefault(needle, len(number))
+                    if at == len(held):
+                        held.append([])
+                    held[at].append((q, meta, content))
+        self.size = len(asked)
+        self.queries = [np.array([x[0] for x in h]) for h in held]
+        self.weights = [(np.array([x[1] for x in h]), np.array([x[2] for x in h])) for h in held]
+        self.found = ahocorasick.Automaton()
+        for needle, at in number.items():
+            self.found.add_word(needle, at)
+        self.found.make_automaton()
+
+    def add(self, text: str, side: int, scores: np.ndarray) -> None:
+        """Adds a text's weights, as metadata (0) or content (1), to scores."""
+        if self.queries:
+            for at in {at for _, at in self.found.iter(text)}:
+                np.add.at(scores, self.queries[at], self.weights[at][side])
+
+
+def _best(ids: list, asked: list[tuple[str, list[str]]], kind: str, k: int):
+    """The k best chunks of each query among a task's chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(asked)
+        # per query a heap of (score, order) whose least is dropped first
+        kept: list[list[tuple]] = [[] for _ in ids]
+        last_meta, base = None, np.zeros(scorer.size, dtype=np.int64)
+        for batch in batches:
+            for doc, chunk, meta, content in zip(*(c.to_pylist() for c in batch.columns)):
+                if meta != last_meta:
+                    last_meta, base = meta, np.zeros(scorer.size, dtype=np.int64)
+                    scorer.add(meta, 0, base)
+                scores = base.copy()
+                scorer.add(content, 1, scores)
+                for q in np.flatnonzero(scores).tolist():
+                    entry = (int(scores[q]), -doc, -chunk)
+                    if len(kept[q]) < k:
+                        heapq.heappush(kept[q], entry)
+                    elif entry > kept[q][0]:
+                        heapq.heapreplace(kept[q], entry)
+        rows = [(ids[q], -d, -c, s) for q, best in enumerate(kept) for s, d, c in best]
+        columns = list(zip(*rows)) if rows else [()] * 4
+        kinds = (pa.int64() if kind == "bigint" else pa.string(), pa.int64(), pa.int64(), pa.int64())
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, t in zip(columns, kinds)], names=["query_id", "doc_id", "chunk_no", "score"])
+
+    return run
 
-    ``docs``: doc_id, metadata, text; ``queries``: query_id, query. A term may
-    lie inside a longer run of letters, so no equality can join it: every
-    chunk is scored against every query of a stated set, which is broadcast
-    while it has at most ``BROADCAST_QUERIES`` rows. Ranks are cut in each
-    partition before the shuffle, to k rows per query.
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """Top k (at most 8) chunks of each query: best score, document order, chunk.
+
+    ``docs``: doc_id (a number), metadata, text; ``queries``: query_id (a number
+    or a string), query. A query that occurs whole, and each of its terms, adds
+    to a chunk's score, in the metadata more than in the text; a term may lie
+    inside a longer run of letters. The queries are a stated set, taken in
+    blocks of about ``QUERY_BLOCK`` against all chunks: a block goes to each
+    task, which finds all its needles in one pass over a chunk and returns k
+    rows a query, so that only these are shuffled.
     """
+    k = max(1, min(8, k))
     cut = chunks(docs, ["doc_id", "metadata"], "text").select(
-        "doc_id",
-        "chunk_no",
+        F.col("doc_id").cast("long").alias("doc_id"),
+        F.col("chunk_no").cast("long").alias("chunk_no"),
         T.bare(F.col("metadata")).alias("meta"),
         T.bare(F.concat_ws("\n", "heading", "text")).alias("content"),
     )
     head = F.substring(T.trim(F.col("query")), 1, QUERY_CHARS)
     asked = queries.select("query_id", T.bare(head).alias("exact"), T.query_terms(head).alias("terms"))
-    small = asked.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    scored = cut.crossJoin(F.broadcast(asked) if small else asked).withColumn("score", score(F.col("meta"), F.col("content"), F.col("exact"), F.col("terms")))
+    kind = dict(asked.dtypes)["query_id"]
+    if kind != "string":
+        asked, kind = asked.withColumn("query_id", F.col("query_id").cast("long")), "bigint"
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    found = None
+    for block in range(blocks):
+        rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
+        run = _best([r["query_id"] for r in rows], [(r["exact"], r["terms"]) for r in rows], kind, k)
+        some = cut.mapInArrow(run, f"query_id {kind}, doc_id long, chunk_no long, score long")
+        found = some if found is None else found.unionByName(some)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
-    best = scored.where("score > 0").select("query_id", "doc_id", "chunk_no", "score")
-    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= max(1, min(8, k)))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def normalize_hits(hits: DataFrame, limit: int = 5) -> DataFrame:
