@@ -13,6 +13,10 @@ STALE_MS = 90 * 86_400_000
 #: Fields that hold a list, with the most values each keeps.
 LIST_FIELDS = {"special_skills": 6}
 
+#: What an observation does to a slot, by its relation to the slot's value:
+#: (the slot takes its value, the slot starts anew).
+TRANSITIONS = {"same": (False, False), "refine": (True, False), "contradict": (True, True)}
+
 SLOTS = (
     "owner_id string, field string, value string, confirm long, sessions long, first_at long, last_at long, state string"
 )
@@ -27,33 +31,33 @@ def fold_evidence(observations: DataFrame, stale_ms: int = STALE_MS, lists: dict
     list field keeps a slot per value and drops its weakest, then oldest.
     """
 
+    def opened(o: dict) -> dict:
+        own = [o["session_id"]] if o["session_id"] else []
+        return {"value": o["value"], "confirm": 1, "sessions": own, "first": o["at"], "last": o["at"], "state": "tentative"}
+
+    def moved(slot: dict, o: dict) -> dict:
+        relation = o["relation"] or ("same" if slot["value"] == o["value"] else "contradict")
+        takes_value, anew = TRANSITIONS.get(relation, TRANSITIONS["same"])
+        if anew:
+            return opened(o)
+        forgotten = o["at"] - slot["last"] > stale_ms
+        sessions = [] if forgotten else slot["sessions"]
+        more = [o["session_id"]] if o["session_id"] and o["session_id"] not in sessions else []
+        changed = {"confirm": 1 + (0 if forgotten else slot["confirm"]), "sessions": sessions + more, "last": o["at"]}
+        return slot | changed | ({"value": o["value"]} if takes_value else {})
+
     def step(s: dict, o: dict):
-        slots, field, value, at, session = s["slots"], o["field"], o["value"], o["at"], o["session_id"]
-        s.update(owner=o["owner_id"], field=field)
-        key = value if field in lists else ""
-        fresh = [session] if session else []
-        slot = slots.get(key)
-        if slot is None:
-            if field in lists and len(slots) >= lists[field]:
-                weakest = sorted(slots.items(), key=lambda x: (x[1]["confirm"], x[1]["last"]))
-                for name, _ in weakest[: len(slots) - lists[field] + 1]:
-                    del slots[name]
-            slots[key] = {"value": value, "confirm": 1, "sessions": fresh, "first": at, "last": at, "state": "tentative"}
-            return ()
-        if slot["state"] == "rejected":
-            return ()
-        if at - slot["last"] > stale_ms:
-            slot.update(confirm=0, sessions=[])
-        link = o["relation"] or ("same" if slot["value"] == value else "contradict")
-        if link == "contradict":
-            slot.update(value=value, confirm=1, sessions=fresh, first=at, state="tentative")
-        else:
-            if link == "refine":
-                slot["value"] = value
-            slot["confirm"] += 1
-            if session and session not in slot["sessions"]:
-                slot["sessions"].append(session)
-        slot["last"] = at
+        s.update(owner=o["owner_id"], field=o["field"])
+        slots, room = s["slots"], lists.get(o["field"])
+        key = "" if room is None else o["value"]
+        if key not in slots:
+            if room is not None:
+                by_strength = sorted(slots, key=lambda name: (slots[name]["confirm"], slots[name]["last"]))
+                for name in by_strength[: max(0, len(slots) + 1 - room)]:
+                    slots.pop(name)
+            slots[key] = opened(o)
+        elif slots[key]["state"] != "rejected":
+            slots[key] = moved(slots[key], o)
         return ()
 
     def end(s: dict):
