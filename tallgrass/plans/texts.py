@@ -37,12 +37,30 @@ def sensitive_gate(spark, d):
     return table(spark, d, "documents").select("doc_id", T.sensitive(F.col("text")).alias("sensitive"))
 
 
-@query("scrub_log", """select event_id, regexp_replace(concat('Authorization: Bearer a', event_id, 'b ', props), '(?i)\\b(bearer|basic)\\s+[A-Za-z0-9._~+/=-]+', '\\1 [redacted]', 'g') as line from events""")
+@query("scrub_log", """select event_id, regexp_replace(concat('Authorization: Bearer a', event_id, 'b ', props), '(?i)\\b(bearer|basic)\\s+[A-Za-z0-9._~+/=-]+', '\\1 [REDACTED]', 'g') as line from events""")
 def scrub_log(spark, d):
     line = F.concat(F.lit("Authorization: Bearer a"), F.col("event_id").cast("string"), F.lit("b "), "props")
     return table(spark, d, "events").select("event_id", T.scrub(line).alias("line"))
 
 
+#: A log entry with secrets by key, in text, in a URL and below; @ for the number.
+_ENTRY = '{"credential":"c@","n":{"session_cookie":{"a":1},"u":"http://h/?x=1&token=z@&y=2"},"l":["Basic a@=","plain @"],"max_token":"5","tokens":7,"key":"sk-abcdefgh@"}'
+_REDACTED = '{"credential":"[REDACTED]","n":{"session_cookie":"[REDACTED]","u":"http://h/?x=1&token=[REDACTED]&y=2"},"l":["Basic [REDACTED]","plain @"],"max_token":"[REDACTED]","tokens":7,"key":"[REDACTED]"}'
+_NESTED = '{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":@}}}}}}}}}'
+
+
+@query("redacted_fields", f"""select event_id, replace('{_REDACTED}', '@', cast(event_id as varchar)) as entry, '{_NESTED}'.replace('{{"a":@}}', '"[MaxDepth]"') as nested,
+ concat(repeat('x', 32000), '…[truncated]') as long from events""")
+def redacted_fields(spark, d):
+    number = F.col("event_id").cast("string")
+
+    def made(text: str):
+        return T.redact(F.replace(F.lit(text), F.lit("@"), number))
+
+    long = T.scrub(F.concat(F.repeat(F.lit("x"), F.lit(32000)), number))
+    return table(spark, d, "events").select("event_id", made(_ENTRY).alias("entry"), made(_NESTED).alias("nested"), long.alias("long"))
+
+
 @query("bigram_overlap", """, k as (select conv_id, turn, lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) as b from conversations),
  p as (select a.conv_id, a.turn, list_distinct([substr(a.b, i, 2) for i in range(1, length(a.b))]) as x, list_distinct([substr(c.b, i, 2) for i in range(1, length(c.b))]) as y
  from k a join k c on a.conv_id = c.conv_id and c.turn = a.turn + 1) select conv_id, turn, len(x) as grams, len(list_intersect(x, y)) as shared from p""")
