@@ -207,10 +207,10 @@ def transcript_ring(spark, d):
     return H.ring(rows, ["session"], "turn", "seq", 20)
 
 
-@query("union_lists", """select session_id, id from msg where seq = 0 union all select session_id, id from msg where seq <= 1""", MESSAGES)
+@query("union_lists", """select session_id, id from msg where role = 'user' union all select session_id, id from msg""", MESSAGES)
 def union_lists(spark, d):
-    rows = messages(spark, d).select("session_id", "id", "seq")
-    return rows.where("seq = 0").unionByName(rows.where("seq <= 1")).drop("seq")
+    rows = messages(spark, d).select("session_id", "id", "role")
+    return rows.where("role = 'user'").unionByName(rows).drop("role")
 
 
 @query("union_inputs", """, x as (select source, k % 10 as ref, seq, 0 as side from ev where k % 2 = 0 union all
