@@ -31,7 +31,7 @@ def favorites(spark, d):
     return table(spark, d, "part").join(liked, "p_partkey", "left_semi").select("p_partkey", "p_name")
 
 
-@query("cart_totals", """, x as (select source, cast(sum(k * (seq % 3 + 1)) as bigint) as subtotal, min(k % 40) as eta from ev where seq % 10 = 0 group by 1)
+@query("cart_totals", """, x as (select source, cast(sum(k * (seq % 3 + 1)) as bigint) as subtotal, min(k % 40) as eta from ev group by 1)
  select source, subtotal, cast(case when subtotal >= 35 then 0 else 5 end as bigint) as delivery_fee, subtotal + case when subtotal >= 35 then 0 else 5 end as total, coalesce(nullif(eta, 0), 25) as eta from x""", EVENTS)
 def cart_totals(spark, d):
     rows = events(spark, d).selectExpr("source", "k as price", "seq % 3 + 1 as quantity", "concat(k % 40, '分钟') as eta")
@@ -155,7 +155,7 @@ def audio_codec(spark, d):
     return rows.select("seq", F.round(F.col("s")[0] * 32768).cast("long").alias("sample"))
 
 
-@query("audio_resample", "select seq, cast(octet_length(encode(repeat('ab', 480))) // 2 as bigint) // 2 as samples from ev where seq < 200", EVENTS)
+@query("audio_resample", "select seq, cast(octet_length(encode(repeat('ab', 480))) // 2 as bigint) // 2 as samples from ev", EVENTS)
 def audio_resample(spark, d):
     raw = F.repeat(F.lit("ab"), F.lit(480)).cast("binary")
     run = P.resampler(48_000, 24_000)
