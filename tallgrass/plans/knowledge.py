@@ -32,9 +32,34 @@ _URL = r"""case when regexp_matches({0}, '(?i)^https?://[^/?#@\s]+') then concat
  regexp_extract({0}, '(?i)^https?://[^/?#]+[^?#]*(\?[^#]*)?', 1)) end"""
 
 
-@query("url_normalize", "select page_id, " + _URL.format("url") + " as url from pages")
+#: URLs that need more than lower case: (what stands before and after the page
+#: number, the URL that browsers write before and after it; null if none).
+_HARD_URLS = (
+    (" HTTPS://X.org:443/a/../b/./", "#f", "https://x.org/b/", ""),
+    ("https://münchen.de/é/", "?q=a b'c", "https://xn--mnchen-3ya.de/%C3%A9/", "?q=a%20b%27c"),
+    ("https://user:pass@x.org/", "", None, ""),
+    ("http://0x7f.1:8080\\\\p\\\\", "", "http://127.0.0.1:8080/p/", ""),
+    ("https:x.org/%2E%2e/", "?", "https://x.org/", "?"),
+    ("ftp://x.org/", "", None, ""),
+)
+
+
+def _hard_url(columns: tuple[int, int]) -> str:
+    def text(x):
+        return "null" if x is None else "'" + x.replace("'", "''").replace("\\\\", "\\") + "'"
+
+    a, b = columns
+    return "case page_id % 6 " + " ".join(f"when {i} then {text(u[a])} || page_id || {text(u[b])}" for i, u in enumerate(_HARD_URLS)) + " end"
+
+
+@query("url_normalize", "select page_id, " + _URL.format("url") + f" as url, {_hard_url((2, 3))} as hard from pages")
 def url_normalize(spark, d):
-    return table(spark, d, "pages").select("page_id", W.normalize_url(F.col("url")).alias("url"))
+    number = F.col("page_id").cast("string")
+    hard = F.lit(None).cast("string")
+    for i, (before, after, _, _) in enumerate(_HARD_URLS):
+        made = F.concat(F.lit(before.replace("\\\\", "\\")), number, F.lit(after))
+        hard = F.when(F.col("page_id") % 6 == i, made).otherwise(hard)
+    return table(spark, d, "pages").select("page_id", W.normalize_url(F.col("url")).alias("url"), W.normalize_url(hard).alias("hard"))
 
 
 @query("cited_responses", ", x as (select page_id % 25 as response, page_id as pos, " + _URL.format("url") + """ as url from pages),
@@ -73,23 +98,65 @@ def link_harvest(spark, d):
     return W.harvest_links(table(spark, d, "pages").select("page_id", text.alias("t")), "page_id", "t")
 
 
-@query("search_page_results", """select page_id, cast(i as bigint) as pos, concat('https://r', i, '.example/', page_id) as url, concat('Title ', i) as title, concat('about &amp; ', i) as snippet from pages, range(0, 3) t(i)""")
+def _result_page(spark, d, blocks: list[str], kind: str):
+    """A result page per page, with its number for each @ of the blocks."""
+    number = F.col("page_id").cast("string")
+    page = F.concat(F.lit("<ol>"), *[x for p in "".join(blocks).split("@") for x in (F.lit(p), number)][:-1], F.lit("</ol>"))
+    return W.parse_results(table(spark, d, "pages").select("page_id", page.alias("p")), "page_id", "p", kind)
+
+
+#: Marked terms inside words, a paragraph before the caption, entities twice and
+#: out of range, either quote, a repeated URL, credentials, a heading without link.
+_MARKED_BLOCKS = [
+    """<li class="x b_algo y"><h2 class=t><a target=_blank href="https://R0.example:443/a/../@?x=1&amp;y=2#f">Key<strong>word</strong>s <i>&amp;lt;</i> &#9999999999;</a></h2><p>menu</p><div class="b_caption"><p class=c>about&ensp;the <strong>k</strong>ey</p></div></li>""",
+    """<li id=2 class='b_algo'><h2><a href='https://r1.example/@'>Two &#x41;&#38;#x42;</a></h2><p>no caption</p></li>""",
+    """<li class="b_algo"><h2><a href="https://r1.example/@">Again</a></h2></li>""",
+    """<li class="b_algo"><h2><a href="https://u:p@r2.example/">Hidden</a></h2></li>""".replace("@", "&#64;"),
+    """<li class="b_algo"><h2>No link</h2></li>""",
+    """<li class="other"><h2><a href="https://r3.example/@">Other</a></h2></li>""",
+]
+
+
+@query("search_page_results", """select page_id, cast(0 as bigint) as pos, concat('https://r0.example/', page_id, '?x=1&y=2#f') as url, concat('Keywords < ', chr(65533)) as title, 'about the key' as snippet, 'r0.example' as source from pages
+ union all select page_id, 1, concat('https://r1.example/', page_id), 'Two AB', null, 'r1.example' from pages""")
 def search_page_results(spark, d):
-    def item(i: int):
-        return F.concat(
-            F.lit(f'<li class="b_algo"><h2><a href="https://r{i}.example/'), F.col("page_id").cast("string"),
-            F.lit(f'">Title <b>{i}</b></a></h2><p>about &amp;amp; {i}</p></li>'),
-        )
+    return _result_page(spark, d, _MARKED_BLOCKS, "b_algo")
+
+
+#: The real address beside a redirect in either order, terms marked in words,
+#: links outside the heading, single quotes, a heading without title.
+_PORTAL_BLOCKS = [
+    """<li class="res-list" data-x=1><a href="https://ad.example/">ad</a><h3 class="res-title "><a data-mdurl="https://real.example/@" href="https://www.portal.example/link?u=1">A <em>te</em>rm</a></h3><p class="m res-desc">to<em>ld</em> &middot; it</p></li>""",
+    """<li class='res-list'><h3 class='res-title'><a href='https://www.portal.example/link?u=2' data-mdurl='https://late.example/@'>B</a></h3></li>""",
+    """<li class="res-list"><h3 class="res-title"><a href="https://plain.example/@">C</a></h3><p>not this</p></li>""",
+    """<li class="res-list"><h3 class="res-title"><a href="https://empty.example/@"> <em></em> </a></h3></li>""",
+]
+
 
-    page = F.concat(*[item(i) for i in (0, 1, 2, 0)])
-    return W.parse_results(table(spark, d, "pages").select("page_id", page.alias("p")), "page_id", "p", "b_algo")
+@query("portal_page_results", """select page_id, cast(0 as bigint) as pos, concat('https://real.example/', page_id) as url, 'A term' as title, 'told · it' as snippet, 'real.example' as source from pages
+ union all select page_id, 1, concat('https://late.example/', page_id), 'B', null, 'late.example' from pages
+ union all select page_id, 2, concat('https://plain.example/', page_id), 'C', null, 'plain.example' from pages""")
+def portal_page_results(spark, d):
+    return _result_page(spark, d, _PORTAL_BLOCKS, "res-list")
 
 
-@query("json_results", "select event_id, cast(0 as bigint) as pos, concat('https://a/', event_id) as url, 'n' as title, props as snippet from events")
+#: Responses of four shapes, @ for the event's number: a key of its own, a nested
+#: one, one nested after an empty one, and none that is known.
+_RESPONSES = (
+    '{"meta":1,"items":[{"link":" https://a/@ ","name":"n","text":"t@","siteName":"s"},{"title":"no url"}]}',
+    '{"result":{"search_results":[{"url":"","href":"https://b/@","title":"","name":"m","description":"d","content":"c","published_date":"2024","domain":"dom"}]}}',
+    '{"data":{"results":[],"web":[{"url":"https://no/"}]},"web":{"data":{"pages":[{"url":"https://c/@","title":"T","snippet":"s","source":"x","date":"y"}]}}}',
+    '{"organic":[{"url":"https://no/"}],"webPages":{"value":[{"url":"https://no/"}]}}',
+)
+
+
+@query("json_results", """select event_id, cast(0 as bigint) as pos, case event_id % 4 when 0 then 'https://a/' when 1 then 'https://b/' else 'https://c/' end || event_id as url,
+ case event_id % 4 when 0 then 'n' when 1 then 'm' else 'T' end as title, case event_id % 4 when 0 then 't' || event_id when 1 then 'd' else 's' end as snippet,
+ case event_id % 4 when 1 then '2024' when 2 then 'y' end as published_at, case event_id % 4 when 0 then 's' when 1 then 'dom' else 'x' end as source from events where event_id % 4 < 3""")
 def json_results(spark, d):
-    body = F.concat(F.lit('{"meta":1,"items":[{"link":"https://a/'), F.col("event_id").cast("string"), F.lit('","name":"n","content":"'), F.replace("props", F.lit('"'), F.lit('\\"')), F.lit('"}]}'))
-    rows = table(spark, d, "events").select("event_id", body.alias("b"))
-    return W.json_results(rows, "event_id", "b").select("event_id", "pos", "url", "title", "snippet")
+    body = F.get(F.array(*[F.lit(x) for x in _RESPONSES]), (F.col("event_id") % 4).cast("int"))
+    rows = table(spark, d, "events").select("event_id", F.replace(body, F.lit("@"), F.col("event_id").cast("string")).alias("b"))
+    return W.json_results(rows, "event_id", "b")
 
 
 @query("normalized_hits", """, x as (select source as query_id, seq as pos, id, name as content, row_number() over (partition by source order by seq) n from ev),
@@ -117,25 +184,14 @@ def chunk_documents(spark, d):
     return R.chunks(table(spark, d, "documents"), ["doc_id"], "text")
 
 
-#: Documents of one chunk: the SQL scores these only, and the first 60
-#: characters of a query. The query searches all documents by whole queries, so
-#: the two differ wherever others score.
-_SHORT = "length(text) <= 1500 and not regexp_matches(text, '(?m)^#{1,6}\\s')"
-
-
-@query("lexical_topk", f""", dn as (select doc_id, lower(regexp_replace(source, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) as meta, lower(regexp_replace(text, '[^\\p{{L}}\\p{{N}}]+', '', 'g')) as content from documents where {_SHORT} and trim(text) <> ''),
- q as (select item_id as query_id, lower(regexp_replace(trim(substr(text, 1, 60)), '[^\\p{{L}}\\p{{N}}]+', '', 'g')) as exact, list_distinct(list_filter(regexp_extract_all(lower(trim(substr(text, 1, 60))), '[\\p{{L}}\\p{{N}}]+'), lambda x: length(x) >= 2)) as terms from benchmark),
- s as (select query_id, doc_id, (case when contains(meta, exact) then 80 else 0 end) + (case when contains(content, exact) then 60 else 0 end)
- + list_sum(list_transform(terms, lambda t: (case when contains(meta, t) then 12 else 0 end) + (case when contains(content, t) then 8 else 0 end))) as score from dn, q),
- r as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from s where score > 0)
- select query_id, doc_id, cast(1 as bigint) as chunk_no, cast(score as bigint) as score, rank from r where rank <= 5""")
+@query("lexical_topk")
 def lexical_topk(spark, d):
     docs = table(spark, d, "documents")
     asked = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     return R.search(docs.select("doc_id", F.col("source").alias("metadata"), "text"), asked, 5)
 
 
-@query("name_match", """, r as (select distinct c_custkey as request_id, cast(c_nationkey as bigint) as owner_id, lower(c_name) as k from customer where c_custkey <= 300),
+@query("name_match", """, r as (select distinct c_custkey as request_id, cast(c_nationkey as bigint) as owner_id, lower(c_name) as k from customer),
  n as (select cast(s_nationkey as bigint) as owner_id, concat('customer#', lpad(cast(s_suppkey as varchar), 4, '0')) as name from supplier),
  rk as (select request_id, owner_id, regexp_replace(k, '[^\\p{L}\\p{N}]+', '', 'g') as k from r), nk as (select owner_id, name, regexp_replace(name, '[^\\p{L}\\p{N}]+', '', 'g') as nk from n),
  m as (select request_id, count(*) filter (k = nk) as exact, min(name) filter (k = nk) as en, count(*) as near, min(name) as nn from rk join nk on rk.owner_id = nk.owner_id and (contains(k, nk) or contains(nk, k)) group by 1)
