@@ -94,11 +94,14 @@ class Scorer:
             self.found.add_word(needle, at)
         self.found.make_automaton()
 
-    def add(self, text: str, side: int, scores: np.ndarray) -> None:
-        """Adds a text's weights, as metadata (0) or content (1), to scores."""
-        if self.queries:
-            for at in {at for _, at in self.found.iter(text)}:
-                np.add.at(scores, self.queries[at], self.weights[at][side])
+    def scores(self, text: str, side: int) -> np.ndarray:
+        """Each query's weights in a text, as metadata (0) or content (1)."""
+        held = {at for _, at in self.found.iter(text)} if self.queries else ()
+        if not held:
+            return np.zeros(self.size, dtype=np.int64)
+        queries = np.concatenate([self.queries[at] for at in held])
+        weights = np.concatenate([self.weights[at][side] for at in held])
+        return np.bincount(queries, weights, self.size).astype(np.int64)
 
 
 def _best(ids: list, asked: list[tuple[str, list[str]]], kind: str, k: int):
@@ -106,22 +109,22 @@ def _best(ids: list, asked: list[tuple[str, list[str]]], kind: str, k: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(asked)
-        # per query a heap of (score, order) whose least is dropped first
+        # per query a heap whose least entry goes first; that entry, once the
+        # heap is full, is also kept in arrays that a chunk's scores must pass
         kept: list[list[tuple]] = [[] for _ in ids]
-        last_meta, base = None, np.zeros(scorer.size, dtype=np.int64)
+        least, least_doc, least_chunk = (np.zeros(len(ids), dtype=np.int64) for _ in range(3))
+        last_meta, base = None, np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
             for doc, chunk, meta, content in zip(*(c.to_pylist() for c in batch.columns)):
                 if meta != last_meta:
-                    last_meta, base = meta, np.zeros(scorer.size, dtype=np.int64)
-                    scorer.add(meta, 0, base)
-                scores = base.copy()
-                scorer.add(content, 1, scores)
-                for q in np.flatnonzero(scores).tolist():
-                    entry = (int(scores[q]), -doc, -chunk)
-                    if len(kept[q]) < k:
-                        heapq.heappush(kept[q], entry)
-                    elif entry > kept[q][0]:
-                        heapq.heapreplace(kept[q], entry)
+                    last_meta, base = meta, scorer.scores(meta, 0)
+                scores = base + scorer.scores(content, 1)
+                sooner = (doc < least_doc) | ((doc == least_doc) & (chunk < least_chunk))
+                for q in np.flatnonzero((scores > least) | ((scores == least) & sooner & (scores > 0))).tolist():
+                    heap = kept[q]
+                    (heapq.heappush if len(heap) < k else heapq.heapreplace)(heap, (int(scores[q]), -doc, -chunk))
+                    if len(heap) == k:
+                        least[q], least_doc[q], least_chunk[q] = heap[0][0], -heap[0][1], -heap[0][2]
         rows = [(ids[q], -d, -c, s) for q, best in enumerate(kept) for s, d, c in best]
         columns = list(zip(*rows)) if rows else [()] * 4
         kinds = (pa.int64() if kind == "bigint" else pa.string(), pa.int64(), pa.int64(), pa.int64())
