@@ -35,10 +35,10 @@ an error), and one number per source and shard.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -122,10 +122,23 @@ def shuffled(place: np.ndarray, n: np.ndarray, source: np.ndarray, epoch: np.nda
 def permuted(place: Column, n: Column, source: Column, epoch: Column, seed: int) -> Column:
     """``shuffled`` as a column of longs, a batch of rows at a time."""
 
-    def run(place: pd.Series, n: pd.Series, source: pd.Series, epoch: pd.Series) -> pd.Series:
-        return pd.Series(shuffled(*(v.to_numpy().astype(np.int64) for v in (place, n, source, epoch)), seed))
+    def run(place: pa.Array, n: pa.Array, source: pa.Array, epoch: pa.Array) -> pa.Array:
+        return pa.array(shuffled(*(v.to_numpy(zero_copy_only=False).astype(np.int64) for v in (place, n, source, epoch)), seed))
 
-    return F.pandas_udf(run, "long")(place, n, source, epoch)
+    return F.arrow_udf(run, "long")(place, n, source, epoch)
+
+
+def _take(seed: int):
+    """(shard, slot, k, b) of slots: both permutations in one pass."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            shard, k, first, base, total, n, q = (batch.column(c).to_numpy() for c in ("shard", "k", "first", "base", "total", "n", "q"))
+            slot = shuffled(base + q - first, total, np.full(len(q), -1), shard, seed + 2)
+            b = shuffled(q % n, n, k, q // n, seed)
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in (shard, slot, k, b)], names=["shard", "slot", "k", "b"])
+
+    return run
 
 
 NAMED = "k long, source string, source_size long, target double"
@@ -158,14 +171,8 @@ def _slots(spark: SparkSession, counts: np.ndarray, blocks: np.ndarray, seed: in
         .repartition(tasks, "k", "first", "s")
         .withColumn("q", F.explode(F.expr(f"sequence(first + s, first + least(s + {SPREAD}L, slots) - 1)")))
     )
-    epoch = F.floor(F.col("q") / F.col("n"))
-    place = F.col("base") + F.col("q") - F.col("first")
-    return spread.select(
-        "shard",
-        permuted(place, F.col("total"), F.lit(-1), F.col("shard"), seed + 2).alias("slot"),
-        "k",
-        permuted(F.pmod("q", "n"), F.col("n"), F.col("k"), epoch, seed).alias("b"),
-    )
+    asked = spread.select("shard", "k", "first", "base", "total", "n", "q")
+    return asked.mapInArrow(_take(seed), "shard long, slot long, k long, b long")
 
 
 OUT = "shard long, slot long, k long, block long, text string, parts array<struct<start:long,doc_id:long,words:long>>"
