@@ -2,14 +2,20 @@
 
 A tree builder follows the open elements, ends those that HTML implies (a new
 paragraph, list item, row or cell ends the one before) and ignores end tags
-without a start. Visibility rules drop what a browser wouldn't show: scripts,
-styles, templates, ``hidden`` and ``aria-hidden`` elements, and inline styles
-of ``display: none`` or ``visibility: hidden``. All other text is emitted:
-white space collapses outside ``pre``, blocks keep their spacing, list items
-their bullets, numbers and depth, and table cells line up in columns.
+without a start inside the cell, caption or object that they stand in.
+Visibility rules drop what a browser wouldn't show: scripts, styles,
+templates, closed dialogs, ``hidden`` and ``aria-hidden`` elements, and styles
+of ``display: none`` or ``visibility: hidden``, inline or by a rule of an
+earlier ``style`` element whose selector names one element by tag, classes and
+id. All other text is emitted: white space collapses outside ``pre``, blocks
+keep their spacing, list items their bullets, numbers and depth, and table
+cells line up in columns, with ``colspan`` and ``rowspan``. A cell of more than
+``ALIGN`` characters is emitted whole but doesn't widen its columns, so that
+the padding of a table grows with its cells alone.
 
 The builder and the renderer are one pass over the tags without recursion, so
-that depth costs no stack. Attributes count only where they hide.
+that depth costs no stack; open elements are found by their positions, not by
+a walk. Attributes count only where they hide or span.
 
 Defined results. A null or empty page has empty text, a null title and zero
 counts. Text without tags is one block. An unfinished tag or comment at the
@@ -20,6 +26,7 @@ ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from html import unescape
 
@@ -38,7 +45,7 @@ BLANK = re.compile(r"[ \t\n\f\r]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template noembed noframes iframe head datalist object audio video canvas noscript".split())
+UNSEEN = frozenset("script style template noembed noframes iframe head datalist audio video canvas noscript".split())
 #: What SVG and MathML don't draw; SVG draws character data in these only.
 UNDRAWN = {
     "svg": frozenset("title desc metadata defs symbol clippath mask marker pattern".split()),
@@ -50,7 +57,7 @@ IN_HEAD = frozenset("title meta style script link base template noscript basefon
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table blockquote pre figure fieldset hr".split())
 BROKEN = frozenset(
     "div section article header footer nav aside main address form li dt dd tr caption figcaption details summary "
-    "body html legend option hgroup search menu center thead tbody tfoot".split()
+    "body html legend option hgroup search menu center thead tbody tfoot dialog".split()
 )
 ENDS_PARAGRAPH = (SPACED | BROKEN) - frozenset("tr caption thead tbody tfoot option body html legend".split())
 #: Element -> (elements it ends, elements that stop the search).
@@ -67,27 +74,104 @@ IMPLIED = {
     "option": (frozenset(["option"]), frozenset(["select"])),
 }
 PARAGRAPH = (frozenset(["p"]), frozenset(["td", "th", "table", "button", "caption"]))
+#: End tags of these find their start up to the table, others up to a bound.
+IN_TABLE = frozenset("tr td th thead tbody tfoot caption".split())
+BOUNDS = frozenset("table td th caption object template".split())
 CELL_GAP = "  "
+#: Characters of a cell that widens its columns, and the spans that HTML allows.
+ALIGN, MOST_COLUMNS, MOST_ROWS = 200, 1000, 65534
+COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.DOTALL)
+SELECTOR = re.compile(r"([a-z][a-z0-9-]*|\*)?((?:[.#][\w-]+)*)", re.IGNORECASE)
+BRACE = re.compile(r"[{};]")
 
+Declaration = tuple[str, bool, str]
 
-def hidden_by(attributes: str) -> bool:
-    """Whether ``hidden``, ``aria-hidden`` or the style hides an element."""
-    if not MAY_HIDE.search(attributes):
-        return False
+
+def attributes_of(attributes: str) -> dict[str, str]:
+    """Values by lower-case name; the first of a repeated name counts."""
     found: dict[str, str] = {}
     for m in ATTRIBUTE.finditer(attributes):
-        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or "").strip().lower())
-    if found.get("hidden", "until-found") != "until-found" or found.get("aria-hidden") == "true":
-        return True
-    style: dict[str, tuple[bool, str]] = {}
-    for part in re.sub(r"/\*.*?\*/", "", found.get("style", ""), flags=re.DOTALL).split(";"):
+        found.setdefault(m[1].lower(), unescape(m[2] or m[3] or m[4] or "").strip())
+    return found
+
+
+def declarations(style: str) -> list[Declaration]:
+    """(name, whether important, value) of what decides visibility."""
+    found = []
+    for part in COMMENT.sub("", style).lower().split(";"):
         name, _, value = (x.strip() for x in part.partition(":"))
-        strong = value.endswith("!important")
+        if name in ("display", "visibility"):
+            strong = value.endswith("!important")
+            found.append((name, strong, value.removesuffix("!important").strip()))
+    return found
+
+
+class Sheet:
+    """Rules that decide visibility, found by one part of their selector."""
+
+    def __init__(self):
+        self.rules: dict[str, list[tuple[tuple, str, frozenset, list[Declaration]]]] = {}
+        self.n = 0
+
+    def read(self, css: str) -> None:
+        """Top-level rules; blocks of at-rules, such as ``@media``, don't count."""
+        css, at, depth, start = COMMENT.sub("", css), 0, 0, 0
+        head = ""
+        for m in BRACE.finditer(css):
+            if m[0] == "{":
+                if depth == 0:
+                    head, start = css[at : m.start()].strip(), m.end()
+                depth += 1
+            elif m[0] == "}":
+                depth = max(0, depth - 1)
+                if depth == 0:
+                    if head and head[0] != "@":
+                        self._add(head, declarations(css[start : m.start()]))
+                    head, at = "", m.end()
+            elif depth == 0:
+                at = m.end()
+
+    def _add(self, head: str, said: list[Declaration]) -> None:
+        for one in head.split(",") if said else ():
+            m = SELECTOR.fullmatch(one.strip())
+            if not m or not m[0]:
+                continue
+            tag, parts = (m[1] or "*").lower(), re.findall(r"[.#][\w-]+", m[2])
+            self.n += 1
+            rank = (sum(x[0] == "#" for x in parts), sum(x[0] == "." for x in parts), tag != "*", self.n)
+            self.rules.setdefault(parts[0] if parts else tag, []).append((rank, tag, frozenset(parts), said))
+
+    def said(self, tag: str, found: dict[str, str]) -> list[Declaration]:
+        """Declarations for an element, the weakest first."""
+        own = {f".{x}" for x in found.get("class", "").split()} | ({f"#{found['id']}"} if found.get("id") else set())
+        met = [r for key in (*own, tag, "*") for r in self.rules.get(key, ()) if r[1] in ("*", tag) and r[2] <= own]
+        return [x for r in sorted(met, key=lambda r: r[0]) for x in r[3]]
+
+
+def hidden_by(tag: str, attributes: str, sheet: Sheet) -> bool:
+    """Whether attributes, inline style or a rule hides an element."""
+    if not (sheet.rules or tag == "dialog" or MAY_HIDE.search(attributes)):
+        return False
+    found = attributes_of(attributes)
+    if found.get("hidden", "until-found").lower() != "until-found" or found.get("aria-hidden", "").lower() == "true":
+        return True
+    style: dict[str, tuple[bool, str]] = {"display": (False, "none")} if tag == "dialog" and "open" not in found else {}
+    for name, strong, value in sheet.said(tag, found) + declarations(found.get("style", "")):
         if strong or not style.get(name, (False, ""))[0]:
-            style[name] = (strong, value.removesuffix("!important").strip())
+            style[name] = (strong, value)
     return style.get("display", (False, ""))[1] == "none" or style.get("visibility", (False, ""))[1] == "hidden"
 
 
+def spans_of(attributes: str) -> tuple[int, int]:
+    """(columns, rows) that a cell covers; 0 rows: all that follow."""
+    if "span" not in attributes.lower():
+        return 1, 1
+    found = attributes_of(attributes)
+    columns, rows = (re.match(r"\+?([0-9]{1,9})", found.get(x, "")) for x in ("colspan", "rowspan"))
+    across = int(columns[1]) if columns else 1
+    return min(across, MOST_COLUMNS) or 1, min(int(rows[1]), MOST_ROWS) if rows else 1
+
+
 class Flow:
     """Lines of text with collapsed white space and block margins."""
 
@@ -158,17 +242,60 @@ class Flow:
 class Table:
     def __init__(self, outer: Flow):
         self.outer = outer
-        self.rows: list[list[str]] = []
+        #: Rows of (text, columns, rows) of each cell.
+        self.rows: list[list[tuple[str, int, int]]] = []
+        self.spans: list[tuple[int, int]] = []
+
+    def _placed(self) -> list[list[tuple[int, int, str]]]:
+        """(first column, columns, text) of the cells of each row."""
+        placed, busy = [], []
+        for i, row in enumerate(self.rows):
+            # columns that cells of earlier rows still cover, in order
+            busy = [x for x in busy if x[2] > i]
+            out, new, at, b = [], [], 0, 0
+            for text, columns, rows in row:
+                while b < len(busy) and busy[b][0] <= at:
+                    at, b = max(at, busy[b][1]), b + 1
+                out.append((at, columns, text))
+                until = i + rows if rows else len(self.rows)
+                if until > i + 1:
+                    new.append((at, at + columns, min(until, len(self.rows))))
+                at += columns
+            busy = sorted(busy + new) if new else busy
+            placed.append(out)
+        return placed
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(r)]
-        width: list[int] = []
-        for row in rows:
-            for i, cell in enumerate(row):
-                if i == len(width):
-                    width.append(0)
-                width[i] = max(width[i], len(cell))
-        return [CELL_GAP.join(c.ljust(width[i]) for i, c in enumerate(row)).rstrip() for row in rows]
+        placed = [row for row in self._placed() if any(text for _, _, text in row)]
+        # columns in which no cell starts take no room
+        starts = sorted({at for row in placed for at, _, _ in row})
+        name = {at: c for c, at in enumerate(starts)}
+        width = [0] * len(starts)
+        wide = []
+        for row in placed:
+            for at, columns, text in row:
+                c, last = name[at], bisect_right(starts, at + columns - 1) - 1
+                if len(text) > ALIGN:
+                    continue
+                if c == last:
+                    width[c] = max(width[c], len(text))
+                else:
+                    wide.append((c, last, len(text)))
+        for c, last, need in sorted(set(wide), key=lambda x: (x[1] - x[0], x)):
+            room = sum(width[c : last + 1]) + len(CELL_GAP) * (last - c)
+            width[last] += max(0, need - room)
+        left = [0]
+        for w in width:
+            left.append(left[-1] + w + len(CELL_GAP))
+        lines = []
+        for row in placed:
+            line, used = [], 0
+            for at, _, text in row:
+                gap = max(left[name[at]] - used, len(CELL_GAP) if line else 0)
+                line.append(" " * gap + text)
+                used += gap + len(text)
+            lines.append("".join(line).rstrip())
+        return lines
 
 
 class Page:
@@ -177,7 +304,10 @@ class Page:
     def __init__(self):
         self.flow = Flow()
         self.stack: list[tuple[str, bool]] = []
-        self.open: dict[str, int] = {}
+        #: Positions in the stack of the open elements of a name, and of bounds.
+        self.open: dict[str, list[int]] = {}
+        self.bounds: list[int] = []
+        self.sheet = Sheet()
         self.hidden = 0
         self.pre = 0
         self.tables: list[Table] = []
@@ -193,7 +323,7 @@ class Page:
             self._imply(*IMPLIED[tag])
         if tag in ENDS_PARAGRAPH and self.open.get("p"):
             self._imply(*PARAGRAPH)
-        hides = tag in UNSEEN or (bool(attributes) and hidden_by(attributes))
+        hides = tag in UNSEEN or hidden_by(tag, attributes, self.sheet)
         hides = hides or any(self.open.get(x) and tag in names for x, names in UNDRAWN.items())
         if self.open.get("head") and tag not in IN_HEAD:
             self.end("head")
@@ -206,17 +336,19 @@ class Page:
             return
         if (tag in UNDRAWN or self.foreign()) and attributes.endswith("/") and not VALUE_SLASH.search(attributes):
             return
+        self.open.setdefault(tag, []).append(len(self.stack))
+        if tag in BOUNDS:
+            self.bounds.append(len(self.stack))
         self.stack.append((tag, hides))
-        self.open[tag] = self.open.get(tag, 0) + 1
         self.hidden += hides
         if not self.hidden:
-            self._layout(tag)
+            self._layout(tag, attributes)
 
     def foreign(self) -> bool:
         """Inside SVG or MathML, where a slash closes an element."""
         return bool(self.open.get("math") or (self.open.get("svg") and not self.open.get("foreignobject")))
 
-    def _layout(self, tag: str) -> None:
+    def _layout(self, tag: str, attributes: str) -> None:
         flow = self.flow
         if tag == "text" and self.open.get("svg"):
             flow.put(" ")
@@ -228,6 +360,7 @@ class Page:
         if tag in ("td", "th") and self.tables:
             if not self.tables[-1].rows:
                 self.tables[-1].rows.append([])
+            self.tables[-1].spans.append(spans_of(attributes))
             self.flow = Flow()
             return
         if tag == "tr" and self.tables:
@@ -252,32 +385,37 @@ class Page:
             self.pre += 1
 
     def end(self, tag: str) -> None:
-        if not self.open.get(tag):
+        places = self.open.get(tag)
+        if not places:
             return
-        while self.stack:
-            name = self.stack[-1][0]
+        if tag in IN_TABLE:
+            floor = (self.open.get("table") or [-1])[-1]
+        else:
+            floor = -1 if tag in ("table", "template") or not self.bounds else self.bounds[-1] - (tag == "object")
+        if places[-1] > floor:
+            self._close(places[-1])
+
+    def _close(self, place: int) -> None:
+        while len(self.stack) > place:
             self._pop()
-            if name == tag:
-                return
 
     def _imply(self, ended: frozenset, stops: frozenset) -> None:
         """Ends the outermost of ``ended`` above the nearest of ``stops``."""
-        if not any(self.open.get(x) for x in ended):
-            return
-        deepest = None
-        for i in range(len(self.stack) - 1, -1, -1):
-            name = self.stack[i][0]
-            if name in stops:
-                break
-            if name in ended:
-                deepest = i
-        if deepest is not None:
-            while len(self.stack) > deepest:
-                self._pop()
+        floor = max((self.open[x][-1] for x in stops if self.open.get(x)), default=-1)
+        found = []
+        for x in ended:
+            places = self.open.get(x, [])
+            i = bisect_right(places, floor)
+            if i < len(places):
+                found.append(places[i])
+        if found:
+            self._close(min(found))
 
     def _pop(self) -> None:
         tag, hides = self.stack.pop()
-        self.open[tag] -= 1
+        self.open[tag].pop()
+        if tag in BOUNDS:
+            self.bounds.pop()
         if self.hidden:
             self.hidden -= hides
             return
@@ -290,7 +428,8 @@ class Page:
             self.flow.block(2)
             return
         if tag in ("td", "th") and self.tables:
-            self.tables[-1].rows[-1].append(" ".join(x for x in self.flow.text().split("\n") if x).strip())
+            text = " ".join(x for x in self.flow.text().split("\n") if x).strip()
+            self.tables[-1].rows[-1].append((text, *self.tables[-1].spans.pop()))
             self.flow = self.tables[-1].outer
             return
         if tag == "tr" and self.tables:
@@ -328,6 +467,7 @@ def render(html: str) -> dict:
         if found[1]:
             page.end(tag)
             continue
+        applies = tag == "style" and not (page.open.get("noscript") or page.open.get("template"))
         page.start(tag, found[3])
         if tag in RAW and not found[3].endswith("/") and not (tag == "title" and page.foreign()):
             close = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.IGNORECASE).search(html, at)
@@ -336,6 +476,8 @@ def render(html: str) -> dict:
             if tag == "title":
                 if page.title is None:
                     page.title = BLANK.sub(" ", unescape(body)).strip()
+            elif applies and attributes_of(found[3]).get("media", "all").lower() in ("all", "screen", ""):
+                page.sheet.read(body)
             elif tag == "textarea":
                 page.text(body)
     rest = html[at:]
