@@ -20,6 +20,17 @@ def clean_text(spark, d):
     return table(spark, d, "documents").select("doc_id", T.clean(F.col("text"), 300).alias("cleaned"))
 
 
+_UNITS = f"select doc_id, trim(regexp_replace(replace(text, 'e', '😀'), '{WS}+', ' ', 'g')) as t from documents"
+
+
+@query("cited_title", f"""with c as ({_UNITS}), p as (select doc_id, list_transform(range(0, 81), lambda i: substr(t, 1, i)) as heads from c)
+ select doc_id, list_extract(list_filter(heads, lambda h: length(h) + length(regexp_replace(h, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) <= 80), -1) as cut from p""")
+def cited_title(spark, d):
+    """Texts with pairs of UTF-16 units, cut to 80 units without half a pair."""
+    text = F.replace(F.col("text"), F.lit("e"), F.lit("😀"))
+    return table(spark, d, "documents").select("doc_id", T.clean_units(text, 80).alias("cut"))
+
+
 @query("bare_text", "select doc_id, md5(lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g'))) as bare from documents")
 def bare_text(spark, d):
     return table(spark, d, "documents").select("doc_id", F.md5(T.bare(F.col("text"))).alias("bare"))
