@@ -66,6 +66,8 @@ BLOCKED_V4 = (
     ("192.0.0.0", 24), ("192.0.2.0", 24), ("192.168.0.0", 16), ("198.18.0.0", 15), ("198.51.100.0", 24),
     ("203.0.113.0", 24), ("224.0.0.0", 4), ("240.0.0.0", 4),
 )
+#: Blocked IPv6 networks.
+BLOCKED_V6 = (("::", 128), ("::1", 128), ("fc00::", 7), ("fe80::", 10), ("ff00::", 8), ("2001:db8::", 32))
 
 
 def ipv4_number(address: Column) -> Column:
@@ -92,16 +94,20 @@ def blocked_ipv4(address: Column) -> Column:
 
 @F.pandas_udf(Y.BooleanType())
 def blocked_ipv6(addresses: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """True for a local, private, mapped or documentation IPv6 address."""
+    """True for an IPv6 address in a blocked network; one that maps an IPv4
+    address is tested as that. Null if it isn't IPv6."""
+    networks = {
+        4: [ipaddress.ip_network(f"{network}/{prefix}") for network, prefix in BLOCKED_V4],
+        6: [ipaddress.ip_network(f"{network}/{prefix}") for network, prefix in BLOCKED_V6],
+    }
 
     def test(value):
         try:
             address = ipaddress.IPv6Address(value)
         except (ValueError, TypeError):
             return None
-        if address.ipv4_mapped is not None:
-            return not address.ipv4_mapped.is_global
-        return not address.is_global or address.is_multicast
+        address = address.ipv4_mapped or ipaddress.IPv6Address(int(address))  # without its zone
+        return any(address in network for network in networks[address.version])
 
     for series in addresses:
         yield series.map(test).astype("boolean")

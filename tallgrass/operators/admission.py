@@ -141,35 +141,46 @@ def micro_batches(items: DataFrame, window_ms: int = 120, most: int = 8, chars:
     return fold(items, batch_rule(window_ms, most, chars))
 
 
-def guard_rule(total_ms: int = 30_000, most: int = 12, per_tool: int = 3) -> Rule:
+def guard_rule(total_ms: int = 30_000, most: int = 12, per_tool: int | None = 3, keys: tuple[str, ...] = ("turn",)) -> Rule:
     """Calls of a turn that may run: within its time, its number, the tool's
-    number, and not an exact repeat; refused calls don't count."""
+    number, and not an exact repeat; refused calls don't count.
+
+    A column ``tool_limit`` names the tool's own number (none if null or not
+    positive) instead of ``per_tool``; where a column ``repeats`` says
+    'handler', the tool looks after repeats itself. A turn's generations are
+    told apart by ``keys``."""
 
     def step(s: dict, c: dict):
+        limit = c.get("tool_limit", per_tool)
         if s["first"] is None:
             s["first"] = c["time_ms"]
         if c["time_ms"] - s["first"] > total_ms:
             why = "time"
         elif len(s["seen"]) >= most:
             why = "calls"
-        elif s["tools"].get(c["tool"], 0) >= per_tool:
+        elif limit is not None and s["tools"].get(c["tool"], 0) >= limit > 0:
             why = "tool"
-        elif c["signature"] in s["seen"]:
+        elif c["signature"] in s["seen"] and c.get("repeats") != "handler":
             why = "repeat"
         else:
             why = "run"
             s["tools"][c["tool"]] = s["tools"].get(c["tool"], 0) + 1
             s["seen"].append(c["signature"])
-        return [(c["turn"], c["seq"], why)]
+        return [(*(c[k] for k in keys), c["seq"], why)]
 
-    schema = "turn long, seq long, verdict string"
-    return Rule(("turn",), schema, lambda: {"first": None, "tools": {}, "seen": []}, step)
+    schema = "".join(f"{k} long, " for k in keys) + "seq long, verdict string"
+    return Rule(keys, schema, lambda: {"first": None, "tools": {}, "seen": []}, step)
 
 
 def tool_guard(calls: DataFrame, total_ms: int = 30_000, most: int = 12, per_tool: int = 3) -> DataFrame:
     return fold(calls, guard_rule(total_ms, most, per_tool))
 
 
+def turn_guard(calls: DataFrame, total_ms: int = 30_000, most: int = 12) -> DataFrame:
+    """``tool_guard`` by (generation, turn), each tool with its own limit."""
+    return fold(calls, guard_rule(total_ms, most, None, ("generation", "turn")))
+
+
 def debounce_rule(wait_ms: int = 30 * 60_000) -> Rule:
     """Events per owner that pass: the first, and those ``wait_ms`` or more
     after the last that passed; ``eligible`` events only."""

@@ -265,10 +265,50 @@ def next_due(reminders: DataFrame, now: int) -> DataFrame:
     return reminders.where(F.col("at") > now).groupBy("owner_id").agg(F.min("at").alias("due"))
 
 
-def granted(grants: DataFrame, now: int, ttl: int = 6 * 3_600_000, cap: int = 500) -> DataFrame:
+def granted(grants: DataFrame, now: int, ttl: int = 6 * 3_600_000, cap: int = 500, keys: tuple[str, ...] = ("session_id",)) -> DataFrame:
     """Latest permission mode of each session, younger than its life; the
     newest ``cap`` sessions stay."""
-    w = Window.partitionBy("session_id").orderBy(F.desc("seq"))
+    w = Window.partitionBy(*keys).orderBy(F.desc("seq"))
     last = grants.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
     live = last.where(F.lit(now) - F.col("time_ms") < ttl)
-    return live.orderBy(F.desc("time_ms"), "session_id").limit(cap)
+    return live.orderBy(F.desc("time_ms"), *keys).limit(cap)
+
+
+def allowed_tasks(decisions: DataFrame, endings: DataFrame, asked: DataFrame, now: int, ttl: int = 6 * 3_600_000, cap: int = 500) -> DataFrame:
+    """``asked`` tasks with whether they may act without a question.
+
+    A decision is always, reject or task; all but task set the session's mode,
+    and each that names a task sets that task's grant, which an ending of the
+    task takes away. An active task may act if its session's mode is always or
+    its own grant isn't a refusal. Columns: decisions owner_id, session_id,
+    task_id, decision, seq, time_ms; endings owner_id, session_id, task_id,
+    seq; asked owner_id, session_id, task_id, active.
+    """
+    session, task = ("owner_id", "session_id"), ["owner_id", "session_id", "task_id"]
+    modes = granted(decisions.where("decision <> 'task'"), now, ttl, cap, session)
+    modes = modes.select(*session, (F.col("decision") == "always").alias("_auto"))
+    grants = decisions.where("task_id is not null").groupBy(*task).agg(
+        F.max("seq").alias("_set"), F.max_by(F.col("decision") != "reject", "seq").alias("_grant")
+    )
+    ended = endings.groupBy(*task).agg(F.max("seq").alias("_ended"))
+    held = grants.join(ended, task, "left").where("_ended is null or _ended < _set").select(*task, "_grant")
+    met = asked.join(F.broadcast(modes) if cap <= 10_000 else modes, list(session), "left").join(held, task, "left")
+    free = F.coalesce("_auto", F.lit(False)) | F.coalesce("_grant", F.lit(False))
+    return met.withColumn("allowed", F.col("active") & free).drop("_auto", "_grant")
+
+
+#: Kinds of task events that clients see, under the same names.
+PUBLIC_KINDS = (
+    "task.accepted", "task.scheduled", "task.scheduled.fired", "task.running", "task.delegated", "task.finalizing",
+    "task.cancelling", "task.updated", "task.progress", "task.completed", "task.failed", "task.cancelled",
+    "task.permission.requested", "task.permission.resolved", "task.input.requested", "task.input.resolved",
+    "task.notification.pending", "task.notification.delivered",
+)
+
+
+def public_events(events: DataFrame) -> DataFrame:
+    """Events of public kinds that carry a task outside the system's scope.
+
+    Columns: type, task_id, scope; any others are kept.
+    """
+    return events.where(F.col("type").isin(*PUBLIC_KINDS) & F.col("task_id").isNotNull() & ~F.col("scope").eqNullSafe(F.lit("system")))

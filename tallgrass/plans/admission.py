@@ -83,6 +83,25 @@ def tool_guard(spark, d):
     return A.tool_guard(rows, total_ms=20 * 86_400_000)
 
 
+_TURNS = """recursive , x as (select k % 3 as generation, source as turn, seq, time_ms, name as tool, concat(name, k % 4) as sig,
+ case when name = 'click' then 2 when name = 'error' then 1 when name = 'view' then 0 end as own, name = 'purchase' as handler,
+ row_number() over (partition by source, k % 3 order by seq) as rn from ev),
+ r as (select generation, turn, seq, rn, time_ms as first, [tool] as tools, [sig] as seen, 'run' as verdict from x where rn = 1 union all
+ select generation, turn, seq, rn, first, case when v = 'run' then list_append(tools, tool) else tools end, case when v = 'run' then list_append(seen, sig) else seen end, v
+ from (select x.generation, x.turn, x.seq, x.rn, r.first, r.tools, r.seen, x.tool, x.sig, case when x.time_ms - r.first > 1728000000 then 'time' when len(r.tools) >= 6 then 'calls'
+ when x.own > 0 and len(list_filter(r.tools, lambda t: t = x.tool)) >= x.own then 'tool' when list_contains(r.seen, x.sig) and not x.handler then 'repeat' else 'run' end as v
+ from r join x on x.turn = r.turn and x.generation = r.generation and x.rn = r.rn + 1)) select generation, turn, seq, verdict from r"""
+
+
+@query("turn_guard", _TURNS, EVENTS)
+def turn_guard(spark, d):
+    rows = events(spark, d).selectExpr(
+        "k % 3 as generation", "source as turn", "seq", "time_ms", "name as tool", "concat(name, k % 4) as signature",
+        "case name when 'click' then 2 when 'error' then 1 when 'view' then 0 end as tool_limit", "if(name = 'purchase', 'handler', null) as repeats",
+    )
+    return A.turn_guard(rows, total_ms=20 * 86_400_000, most=6)
+
+
 @query("debounce", f"""recursive , {STEPS}, r as (select source, seq, rn, k % 3 <> 0 as passed, case when k % 3 <> 0 then time_ms end as last from x where rn = 1 union all
  select x.source, x.seq, x.rn, x.k % 3 <> 0 and (r.last is null or x.time_ms - r.last >= 86400000),
  case when x.k % 3 <> 0 and (r.last is null or x.time_ms - r.last >= 86400000) then x.time_ms else r.last end

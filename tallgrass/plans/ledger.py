@@ -230,6 +230,26 @@ def permission_grants(spark, d):
     return L.granted(tasks(spark, d), NOW + 10_000_000).selectExpr("session_id", "seq", "policy as mode")
 
 
+@query("allowed_tasks", f""", dc as (select *, id as task_id, case priority % 4 when 0 then 'always' when 1 then 'reject' else 'task' end as decision from tk where priority % 3 = 0),
+ se as (select *, row_number() over (partition by owner_id, session_id order by seq desc) as rn from dc where decision <> 'task'),
+ m as (select owner_id, session_id, decision = 'always' as auto from se where rn = 1 and {NOW} - time_ms < 2592000000 order by time_ms desc, owner_id, session_id limit 60),
+ g as (select owner_id, session_id, task_id, max(seq) as at, arg_max(decision, seq) <> 'reject' as grant_ from dc group by 1, 2, 3),
+ e as (select owner_id, session_id, id as task_id, max(seq) as at from tk where {TERMINAL} or status = 'cancelling' group by 1, 2, 3),
+ h as (select g.* from g left join e on e.owner_id = g.owner_id and e.session_id = g.session_id and e.task_id = g.task_id where e.at is null or e.at < g.at),
+ q as (select owner_id, session_id, id as task_id, arg_max(status, seq) as status from tk group by 1, 2, 3)
+ select q.owner_id, q.session_id, q.task_id, {ACTIVE} and status <> 'cancelling' and (coalesce(auto, false) or coalesce(grant_, false)) as allowed from q
+ left join m on m.owner_id = q.owner_id and m.session_id = q.session_id left join h on h.owner_id = q.owner_id and h.session_id = q.session_id and h.task_id = q.task_id""", EVENTS, TASKS)
+def allowed_tasks(spark, d):
+    rows = tasks(spark, d).withColumnRenamed("id", "task_id")
+    decision = F.when(F.col("priority") % 4 == 0, "always").when(F.col("priority") % 4 == 1, "reject").otherwise("task")
+    decisions = rows.where("priority % 3 = 0").withColumn("decision", decision)
+    last = rows.groupBy("owner_id", "session_id", "task_id").agg(F.max_by("status", "seq").alias("status"))
+    asked = last.withColumn("active", F.expr(f"{ACTIVE} and status <> 'cancelling'")).drop("status")
+    endings = rows.where(f"{TERMINAL} or status = 'cancelling'")
+    out = L.allowed_tasks(decisions, endings, asked, NOW, ttl=30 * 86_400_000, cap=60)
+    return out.select("owner_id", "session_id", "task_id", "allowed")
+
+
 @query("public_events", """select seq, case status when 'queued' then 'task.accepted' when 'running' then 'task.started' when 'completed' then 'task.completed'
  when 'failed' then 'task.failed' else 'task.updated' end as event from tk where scope <> 'system'""", EVENTS, TASKS)
 def public_events(spark, d):

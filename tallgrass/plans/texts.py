@@ -172,6 +172,18 @@ def blocked_addresses(spark, d):
     return events(spark, d).select("seq", S.blocked_ipv4(address).alias("blocked"))
 
 
+@query("blocked_networks", """select seq, case k % 10 when 0 then concat('fc00::', printf('%x', seq % 65536)) when 1 then concat('fdff:1::', printf('%x', seq % 65536))
+ when 2 then concat('fe80::', printf('%x', seq % 65536)) when 3 then concat('febf::', printf('%x', seq % 65536)) when 4 then concat('fec0::', printf('%x', seq % 65536))
+ when 5 then concat('2001:db8::', printf('%x', seq % 65536)) when 6 then concat('2001::', printf('%x', seq % 65536)) when 7 then concat('::ffff:10.0.0.', seq % 250)
+ when 8 then concat('::ffff:8.8.8.', seq % 250) else concat('ff02::', printf('%x', seq % 65536)) end as address, k % 10 not in (4, 6, 8) as blocked from ev""", EVENTS)
+def blocked_networks(spark, d):
+    tail, last = F.lower(F.hex(F.col("seq") % 65536)), (F.col("seq") % 250).cast("string")
+    heads = ("fc00::", "fdff:1::", "fe80::", "febf::", "fec0::", "2001:db8::", "2001::", "::ffff:10.0.0.", "::ffff:8.8.8.", "ff02::")
+    at = (F.col("k") % 10).cast("int")
+    address = F.concat(F.get(F.array(*map(F.lit, heads)), at), F.when(at.isin(7, 8), last).otherwise(tail))
+    return events(spark, d).select("seq", address.alias("address")).withColumn("blocked", S.blocked_ipv6(F.col("address")))
+
+
 @query("call_signatures", """select seq, concat(name, ':{"a":"', id, '","k":', k, '}') as signature from ev""", EVENTS)
 def call_signatures(spark, d):
     body = F.concat(F.lit('{ "k": '), F.col("k").cast("string"), F.lit(', "a":"'), "id", F.lit('"}'))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 TEXT_TYPES = ("md", "markdown", "txt", "text", "csv", "tsv", "json", "yaml", "yml", "xml", "html", "htm", "log")
 CONVERTIBLE_TYPES = ("pdf", "doc", "docx", "ppt", "pptx", "xls", "xlsx", "epub", "rtf")
 MAX_IMPORT_BYTES, LIBRARY_DOCUMENTS = 10 << 20, 40
+#: Bytes at the end of a log file that are read.
+TAIL_BYTES = 2 << 20
 
 
 def save_snapshot(df: DataFrame, root: str, version: int) -> str:
@@ -39,9 +41,16 @@ def append_audit(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def tail_logs(logs: DataFrame, turn: str, files: int = 5, most: int = 500) -> DataFrame:
+def tail_logs(logs: DataFrame, turn: str, files: int = 5, most: int = 500, tail_bytes: int = TAIL_BYTES) -> DataFrame:
     """Log rows of a turn from the newest files, the first ``most`` in reading
-    order, then by time. Columns: path, modified, line, turn_id, time_ms."""
+    order, then by time. Columns: path, modified, line, turn_id, time_ms.
+
+    With columns ``offset`` (of a line's first byte) and ``size`` (of its
+    file), only a file's last ``tail_bytes`` are read, without the line that
+    they begin in.
+    """
+    if {"offset", "size"} <= set(logs.columns):
+        logs = logs.where((F.col("size") <= tail_bytes) | (F.col("offset") > F.col("size") - tail_bytes))
     newest = logs.select("path", "modified").distinct().orderBy(F.desc("modified"), "path").limit(files).select("path")
     own = logs.join(newest, "path", "left_semi").where(F.col("turn_id") == turn)
     return own.orderBy("path", "line").limit(most).orderBy("time_ms", "path", "line")
