@@ -104,8 +104,10 @@ class Scorer:
         return np.bincount(queries, weights, self.size).astype(np.int64)
 
 
-def _best(ids: list, asked: list[tuple[str, list[str]]], kind: str, k: int):
-    """The k best chunks of each query among a task's chunks."""
+def _best(ids: list, asked: list[tuple[str, list[str]]], kind: str, k: int, owners: list | None):
+    """The k best chunks of each query among a task's chunks, of its own owner
+    only if ``owners`` are given."""
+    named = None if owners is None else np.array([*owners, None], dtype=object)[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(asked)
@@ -114,11 +116,16 @@ def _best(ids: list, asked: list[tuple[str, list[str]]], kind: str, k: int):
         kept: list[list[tuple]] = [[] for _ in ids]
         least, least_doc, least_chunk = (np.zeros(len(ids), dtype=np.int64) for _ in range(3))
         last_meta, base = None, np.zeros(len(ids), dtype=np.int64)
+        last_owner, own = None, np.zeros(len(ids), dtype=np.int64)
         for batch in batches:
-            for doc, chunk, meta, content in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc, chunk, meta, content, *owner in zip(*(c.to_pylist() for c in batch.columns)):
                 if meta != last_meta:
                     last_meta, base = meta, scorer.scores(meta, 0)
                 scores = base + scorer.scores(content, 1)
+                if named is not None:
+                    if owner != last_owner:
+                        last_owner, own = owner, (named == owner[0]).astype(np.int64)
+                    scores = scores * own
                 sooner = (doc < least_doc) | ((doc == least_doc) & (chunk < least_chunk))
                 for q in np.flatnonzero((scores > least) | ((scores == least) & sooner & (scores > 0))).tolist():
                     heap = kept[q]
@@ -133,7 +140,7 @@ def _best(ids: list, asked: list[tuple[str, list[str]]], kind: str, k: int):
     return run
 
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+def search(docs: DataFrame, queries: DataFrame, k: int = 5, owner: str | None = None) -> DataFrame:
     """Top k (at most 8) chunks of each query: best score, document order, chunk.
 
     ``docs``: doc_id (a number), metadata, text; ``queries``: query_id (a number
@@ -142,17 +149,20 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     inside a longer run of letters. The queries are a stated set, taken in
     blocks of about ``QUERY_BLOCK`` against all chunks: a block goes to each
     task, which finds all its needles in one pass over a chunk and returns k
-    rows a query, so that only these are shuffled.
+    rows a query, so that only these are shuffled. ``owner`` names a column of
+    both sides; a query then finds documents of its own owner only.
     """
     k = max(1, min(8, k))
-    cut = chunks(docs, ["doc_id", "metadata"], "text").select(
+    scope = [owner] if owner else []
+    cut = chunks(docs, ["doc_id", "metadata", *scope], "text").select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("chunk_no").cast("long").alias("chunk_no"),
         T.bare(F.col("metadata")).alias("meta"),
         T.bare(F.concat_ws("\n", "heading", "text")).alias("content"),
+        *scope,
     )
     head = F.substring(T.trim(F.col("query")), 1, QUERY_CHARS)
-    asked = queries.select("query_id", T.bare(head).alias("exact"), T.query_terms(head).alias("terms"))
+    asked = queries.select("query_id", T.bare(head).alias("exact"), T.query_terms(head).alias("terms"), *scope)
     kind = dict(asked.dtypes)["query_id"]
     if kind != "string":
         asked, kind = asked.withColumn("query_id", F.col("query_id").cast("long")), "bigint"
@@ -160,7 +170,8 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     found = None
     for block in range(blocks):
         rows = asked.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == block).collect()
-        run = _best([r["query_id"] for r in rows], [(r["exact"], r["terms"]) for r in rows], kind, k)
+        owners = [r[owner] for r in rows] if owner else None
+        run = _best([r["query_id"] for r in rows], [(r["exact"], r["terms"]) for r in rows], kind, k, owners)
         some = cut.mapInArrow(run, f"query_id {kind}, doc_id long, chunk_no long, score long")
         found = some if found is None else found.unionByName(some)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id", "chunk_no")
