@@ -30,6 +30,13 @@ def _lacking(provider, methods: tuple[str, ...]) -> list[str]:
     return [m for m in methods if not callable(getattr(provider, m, None))]
 
 
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """The rows, written to a folder of the session's own and read again."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def described(provider, methods: tuple[str, ...], version: int | None = None) -> dict:
     """A provider's own description, or TypeError where it breaks the port."""
     lacking = _lacking(provider, methods)
@@ -168,10 +175,7 @@ class LibraryProvider:
         docs = self.library.select(F.col("id").alias("doc_id"), "owner_id", named.alias("metadata"), F.col("content").alias("text"))
         asked = requests.select(F.col("request_id").alias("query_id"), "owner_id", "query")
         # a few rows per request, read twice below: found once
-        spark, path = requests.sparkSession, scratch(requests.sparkSession, "hits")
-        found = search(docs, asked, MOST_HITS, owner="owner_id")
-        found.write.parquet(path)
-        found = spark.read.schema(found.schema).parquet(path)
+        found = _written(search(docs, asked, MOST_HITS, owner="owner_id"), "hits")
         shown = self.library.select(
             F.col("id").alias("doc_id"), F.coalesce(F.nullif(F.col("title"), F.lit("")), F.col("filename")).alias("title"), "content"
         ).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
@@ -210,7 +214,7 @@ class WebSearchRuntime:
 class CapturedPages:
     """Web search over result pages that were fetched before.
 
-    ``pages``: query, page; ``kind`` names their markup.
+    ``pages``: query, page, one for each query; ``kind`` names their markup.
     """
 
     def __init__(self, pages: DataFrame, kind: str, key: str = "captured-pages", label: str = "Captured pages"):
@@ -223,5 +227,7 @@ class CapturedPages:
         return self.kind in web.RESULT_PAGES
 
     def search(self, requests: DataFrame) -> DataFrame:
-        met = requests.select("request_id", "query").join(self.pages, "query")
-        return web.parse_results(met, "request_id", "page", self.kind).withColumn("published_at", F.lit(None).cast("string"))
+        # the parser's expressions are large: what follows is planned without them
+        found = _written(web.parse_results(self.pages, "query", "page", self.kind), "results")
+        met = requests.select("request_id", "query").join(found, "query").drop("query")
+        return met.withColumn("published_at", F.lit(None).cast("string"))
