@@ -25,7 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """A folder that the driver and all executors share.
 
     ``spark.checkpoint.dir`` where the cluster sets it, else a folder beside
-    the warehouse; only a local master may fall back to a temporary folder.
+    the warehouse unless that is a path of each machine's own; only a local
+    master may fall back to a temporary folder.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
@@ -33,7 +34,10 @@ def shared_dir(spark: SparkSession) -> str:
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
         path = "file://" + os.path.join(tempfile.gettempdir(), f"tallgrass-{os.getpid()}")
     else:
-        path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_tallgrass_work"
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if warehouse.startswith(("file:", "/")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        path = warehouse.rstrip("/") + "/_tallgrass_work"
     return path
 
 
