@@ -60,6 +60,12 @@ _REDACTED = '{"credential":"[REDACTED]","n":{"session_cookie":"[REDACTED]","u":"
 _NESTED = '{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":{"a":@}}}}}}}}}'
 
 
+def _spread(ids, rows_a_task: int = 5_000, most: int = 2_000):
+    """The rows dealt over tasks by their count: an id takes few bytes of a
+    file, so that the file's own partitions are few, and its long text many."""
+    return ids.repartition(min(most, ids.count() // rows_a_task + 1))
+
+
 @query("redacted_fields", f"""select event_id, replace('{_REDACTED}', '@', cast(event_id as varchar)) as entry, '{_NESTED}'.replace('{{"a":@}}', '"[MaxDepth]"') as nested,
  concat(repeat('x', 32000), '…[truncated]') as long from events""")
 def redacted_fields(spark, d):
@@ -69,7 +75,7 @@ def redacted_fields(spark, d):
         return T.redact(F.replace(F.lit(text), F.lit("@"), number))
 
     long = T.scrub(F.concat(F.repeat(F.lit("x"), F.lit(32000)), number))
-    return table(spark, d, "events").select("event_id", made(_ENTRY).alias("entry"), made(_NESTED).alias("nested"), long.alias("long"))
+    return _spread(table(spark, d, "events").select("event_id")).select("event_id", made(_ENTRY).alias("entry"), made(_NESTED).alias("nested"), long.alias("long"))
 
 
 @query("bigram_overlap", """, k as (select conv_id, turn, lower(regexp_replace(text, '[^\\p{L}\\p{N}]+', '', 'g')) as b from conversations),

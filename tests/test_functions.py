@@ -1,6 +1,7 @@
 """Literal rows for semantics that the tables can't show."""
 
 import datetime as dt
+import time
 
 import numpy as np
 import pytest
@@ -13,6 +14,7 @@ from tallgrass.functions import scalars as S
 from tallgrass.functions import schedule as C
 from tallgrass.functions import text as T
 from tallgrass.operators import web as W
+from tallgrass.plans.catalog import QUERIES
 
 
 def one(spark, column, **values):
@@ -73,6 +75,48 @@ def test_scrub(spark):
     assert "abc.def" not in got and "12345678" not in got and "zz" not in got and '"q"' not in got and "x=1" in got
 
 
+@pytest.mark.parametrize(
+    ("text", "expected"),
+    [
+        ("BASIC a=", "BASIC [REDACTED]"),
+        ("bearer\tx", "bearer [REDACTED]"),
+        ("sk-abcdefgh", "[REDACTED]"),
+        ("h?Api_Key=1", "h?Api_Key=[REDACTED]"),
+        ('"a_TOKEN" : "1\\"2"', '"a_TOKEN" : "[REDACTED]"'),
+        ("x" * 32_000, "x" * 32_000),
+        ("x" * 32_001, "x" * 32_000 + "…[truncated]"),
+        ("é" * 32_001, "é" * 32_000 + "…[truncated]"),
+        ("x" * 31_999 + "😀", "x" * 31_999 + "…[truncated]"),
+        ("😀" * 16_000 + "x", "😀" * 16_000 + "…[truncated]"),
+        ("x" * 32_000 + "é", "x" * 32_000 + "…[truncated]"),
+        ("x" * 31_980 + " Bearer " + "y" * 99, "x" * 31_980 + " Bearer [REDACTED]"),
+    ],
+)
+def test_scrub_each_pattern_and_cut(spark, text, expected):
+    assert one(spark, T.scrub(F.col("x")), x=text) == expected
+
+
+def test_scrub_of_long_plain_text_costs_less_than_two_patterns(spark):
+    """What no pattern can match isn't looked at character by character."""
+    long = F.concat(F.repeat(F.lit("x"), F.lit(32_000)), F.col("id").cast("string"))
+
+    def seconds(column):
+        def once():
+            began = time.perf_counter()
+            spark.range(0, 3_000, 1, 1).select(column).write.format("noop").mode("overwrite").save()
+            return time.perf_counter() - began
+
+        return min(once() for _ in range(3))
+
+    assert seconds(T.scrub(long)) < 2 * seconds(F.regexp_replace(long, T.AUTH_VALUE, ""))
+
+
+def test_redacted_fields_spreads_the_rows_of_one_file(spark, tmp_path):
+    spark.range(0, 20_001, 1, 1).withColumnRenamed("id", "event_id").write.parquet(f"{tmp_path}/events.parquet")
+    made = QUERIES["redacted_fields"](spark, str(tmp_path))
+    assert made.count() == 20_001 and made.rdd.getNumPartitions() >= 5
+
+
 def test_lists_and_bullets(spark):
     assert one(spark, T.split_list(F.col("x")), x=" 读书、跑步,, 茶｜ ") == ["读书", "跑步", "茶"]
     assert one(spark, T.dedup_bullets(F.col("x")), x="- a\n\n\n- A\n* b\nt\n") == "- a\n\n* b\nt"
